@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import bpe
+from pagemill.llm import bpe, mixing, quality_rules, sharding
 from pagemill.session import table
 
 
@@ -19,7 +20,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal numbers of rows, each with the mixture of sources."""
+    placed = sharding.interleave(table(spark, sf_dir, "documents"), n_shards=40)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "stratum", "position")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3 by source, at most 3 epochs."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of line-first cleaning on all documents."""
+    judged = quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_words")
+    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_sharding": op4_sharding,
+    "op8_mixing": op8_mixing,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
