@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, mixing, quality_rules, sharding, topk
+from pagemill.llm import bpe, dedup, mixing, quality_rules, sharding, topk
 from pagemill.session import table
 
 
@@ -27,6 +27,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "stratum", "position")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_mark")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 by source, at most 3 epochs."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_sharding": op4_sharding,
+    "op6_near_dedup": op6_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
