@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, dedup, mixing, quality_rules, sharding, topk
+from pagemill.llm import bpe, dedup, language_id, mixing, quality_rules, sharding, topk
+from pagemill.llm.common import crc_fold
 from pagemill.session import table
 
 
@@ -32,6 +33,15 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_mark")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 4) == 2
+    learned = language_id.learn(docs, ~held_out)
+    plain = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.classify(plain, learned).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 by source, at most 3 epochs."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -54,6 +64,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_sharding": op4_sharding,
     "op6_near_dedup": op6_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
