@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, dedup, language_id, mixing, quality_rules, sharding, topk
+from pagemill.llm import bpe, dedup, language_id, lm_score, mixing, quality_rules, sharding, topk
 from pagemill.llm.common import crc_fold
 from pagemill.session import table
 
@@ -16,6 +16,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of all documents."""
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
@@ -28,6 +34,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, "stratum", "position")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents, learned from six sevenths of them."""
+    return lm_score.score(table(spark, sf_dir, "documents"), crc_fold("doc_id", 7) != 2, piece_vocabulary())
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_mark")
@@ -63,6 +74,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_sharding": op4_sharding,
+    "op5_lm_score": op5_lm_score,
     "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
