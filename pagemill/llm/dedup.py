@@ -7,12 +7,13 @@ probability equal to the Jaccard similarity, and the number of agreements is con
 independent MinHash values.
 
 Candidates. A sketch is banded (BANDS bands of ROWS coordinates). Documents with equal shingle sets are one class from the
-start. In each bucket, all classes are compared with one centre (another one in each band), never all with all. Verified
+start. In each bucket, all classes are compared with one centre (the first of its classes by hash, so that the bands of a large group agree on few centres), never all with all. Verified
 links make components. Only buckets that still hold classes of different components need more: they are dealt over
 block pairs of bounded size, each pair of classes of different components is looked at in the first band that it shares,
 and passes on if its sketches agree often enough (a bound that a pair at the threshold misses with a probability below
-1e-8). What passes is verified on the full sets, so nothing is linked or left out by estimate alone, and no bucket is
-capped.
+1e-8). What passes is verified on the full sets; a block pair in which more pairs than rows pass is verified within its
+task, by one product of its sets' matrices, and returns only the links that join components. So no bucket is capped, and
+rows grow with the documents, not with the pairs.
 
 A pair at similarity 0.85 shares no band with probability (1 - 0.85^ROWS)^BANDS, about 7e-8.
 
@@ -215,7 +216,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one block pair of one bucket to the pairs of different components that are worth verifying."""
+    """Rows of one block pair of one bucket to the pairs of different components that are worth verifying, or, where
+    these are more than the rows, to one row without a pair: such a block pair is verified as a whole."""
     band, first, second = int(rows["band"].iloc[0]), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     marks = np.frombuffer(b"".join(rows["marks"]), np.uint16).reshape(-1, COORDINATES)
     bands, n, key = np.stack(list(rows["bands"])), rows["n"].to_numpy(np.int64), rows["key"].to_numpy(object)
@@ -230,6 +232,52 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         if len(at) and band:
             at = at[~(bands[at, :band] == bands[p, :band]).any(1)]
         out += [(key[p], key[q]) for q in at]
+        if len(out) > len(rows):
+            out = [(None, None)]
+            break
+    found = pd.DataFrame(out, columns=["a", "b"], dtype=object)
+    return found.assign(band=band, value=rows["value"].iloc[0], i=first, j=second)
+
+
+def _dense(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows (key, label, block, members) of one block pair to links that join all components that its linked pairs do.
+
+    Intersections of all pairs of sets are a product of 0/1 matrices over the shingles that occur twice, some columns at
+    a time; the results are whole numbers.
+    """
+    first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    key, block = rows["key"].to_numpy(object), rows["block"].to_numpy()
+    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+    n = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, twice = np.repeat(np.arange(len(sets)), n), times > 1
+    place = np.cumsum(twice) - 1
+    row, column = row[twice[column]], place[column[twice[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    common = np.zeros((len(one), len(two)))
+    for at in range(0, int(twice.sum()), 8192):
+        lo, hi = np.searchsorted(column, [at, at + 8192])
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        common += part[one] @ part[two].T
+    linked = 100 * common >= PERCENT * (n[one][:, None] + n[two][None, :] - common)
+    label = pd.factorize(rows["label"])[0]
+    up = np.arange(label.max() + 1)
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for p, q in np.argwhere(linked):
+        a, b = root(label[one[p]]), root(label[two[q]])
+        if a != b:
+            up[b] = a
+            out.append((key[one[p]], key[two[q]]))
     return pd.DataFrame(out, columns=["a", "b"], dtype=object)
 
 
@@ -244,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(linkable.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("one"), *firsts).select("key", "one.id", "one.mark", "n", "marks", "bands"))
 
     banded = classes.select("key", F.posexplode("bands").alias("band", "value"))
-    order = F.xxhash64("band", "key")
+    order = F.xxhash64("key")
     buckets = banded.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), F.col("key").alias("centre"))).alias("_c"))
     buckets = buckets.where("size > 1").select("band", "value", "size", "_c.centre")
     crowded = cut(banded.join(buckets, ["band", "value"]))
@@ -253,24 +301,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     likely = cut(near.select("a", "b", "ma", "mb").mapInArrow(_agreeing, "a binary, b binary"))
 
-    def sets(of: DataFrame) -> DataFrame:
-        wanted = of.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        one = classes.join(wanted, "key", "left_semi").select("key", "id", "mark")
+    def sets(keys: DataFrame) -> DataFrame:
+        one = classes.join(keys.distinct(), "key", "left_semi").select("key", "id", "mark")
         return plain.join(one, ["id", "mark"]).select("text", "key").mapInArrow(_sets, "key binary, members binary").dropDuplicates(["key"])
 
-    found = cut(verify(likely, sets(likely)))
+    ends = F.explode(F.array("a", "b")).alias("key")
+    found = cut(verify(likely, sets(likely.select(ends))))
     state = components(found)
 
     # Buckets that hold more than one component.
     member = crowded.join(state, "key", "left").select("band", "value", "key", "size", F.coalesce("label", "key").alias("label"))
     mixed = member.groupBy("band", "value").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("band", "value")
     rest = member.join(mixed, ["band", "value"]).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")).join(classes.select("key", "n", "marks", "bands"), "key")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rest = rest.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = rest.groupBy("band", "value", "i", "j").applyInPandas(_across, "a binary, b binary")
-    more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"))
-    late = cut(verify(more, sets(more)))
+    pair = ["band", "value", "i", "j"]
+    rest = cut(rest.select("band", "value", "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    across = rest.join(classes.select("key", "n", "marks", "bands"), "key").groupBy(*pair)
+    across = cut(across.applyInPandas(_across, "a binary, b binary, band int, value long, i int, j int"))
+    few = across.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
+    few = cut(few)
+    dense = rest.join(across.where("a is null").select(*pair), pair, "left_semi")
+    dense = dense.join(sets(dense.select("key")), "key").groupBy(*pair).applyInPandas(_dense, "a binary, b binary")
+    late = cut(verify(few, sets(few.select(ends))).unionByName(dense))
     state = components(late, state)
 
     named = classes.select("key", "id").join(state, "key", "left").withColumn("label", F.coalesce("label", "key"))

@@ -68,6 +68,21 @@ def test_chain_and_mixed_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs).collect()} == brute(rows)
 
 
+def test_dense_group_near_the_threshold(spark):
+    # Copies of one text that are all about as alike as the threshold: many pairs pass the sketches, some are links.
+    rnd = random.Random(6)
+    base = [f"w{rnd.randint(0, 9999)}" for _ in range(300)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for k in range(2 + i % 4):
+            copy[rnd.randrange(300)] = f"x{i}y{k}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs).collect()} == want
+
+
 def test_repeated_rows_and_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (5, text), (3, text + " z"), (None, text), (7, "other words in here now"), (7, text), (None, None)]
