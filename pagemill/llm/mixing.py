@@ -81,3 +81,20 @@ def mix(
     return decided.unionByName(split).select(
         F.col("_id").alias(id_col), "stratum", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken")
     )
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with each row as often as mix() takes it; all columns stay. Rows without a word aren't taken.
+
+    Rows of equal id, source and size share the times that they were given together as evenly as can be.
+    """
+    source_col = how.get("source_col", "source")
+    key = ["_id", "_s", "_n"]
+    given = mix(docs, id_col=id_col, text_col=text_col, **how).where("size > 0")
+    given = given.groupBy(stratum(F.col(id_col)).alias("_id"), F.col("stratum").alias("_s"), F.col("size").alias("_n"))
+    given = given.agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
+    rows = docs.withColumns({"_id": stratum(F.col(id_col)), "_s": stratum(F.col(source_col)), "_n": words_of(F.col(text_col))})
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text_col)))
+    times = F.expr("_times div _rows") + (turn <= F.col("_times") % F.col("_rows")).cast("long")
+    taken = rows.join(given, key).withColumn("_take", times).where("_take > 0")
+    return taken.withColumn("_copy", F.explode(F.expr("sequence(1L, _take)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, dedup, language_id, lm_score, mixing, quality_rules, sharding, topk
-from pagemill.llm.common import crc_fold
+from pagemill.llm import bpe, dedup, language_id, lm_score, mixing, quality_classifier, quality_rules, sharding, topk, warc
+from pagemill.llm.common import crc_fold, cut
 from pagemill.session import table
 
 
@@ -27,6 +27,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+#: Records of a file, by ranges of ids; ids are unique.
+PAGES_A_FILE = 2048
+
+
+def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, and what an audit finds of a replica in which some were altered or lost."""
+    pages = table(spark, sf_dir, "pages")
+    file = F.floor(F.col("page_id") / PAGES_A_FILE).alias("file")
+    records = pages.select("page_id", file, warc.record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
+    primary = cut(warc.index(records, "file", "page_id", "record"))
+    # The replica has the same places; its bytes are hashed anew.
+    altered = F.when(F.col("page_id") % 97 == 5, F.overlay("record", F.lit("X").cast("binary"), F.lit(1))).otherwise(F.col("record"))
+    held = records.where("page_id % 211 <> 7").select(F.col("page_id").alias("key"), F.sha2(altered, 256).alias("digest"))
+    replica = primary.select("file", "key", "offset", "length").join(held, "key")
+    found = warc.audit(primary, cut(replica.select("file", "key", "offset", "length", "digest")))
+    status = F.coalesce("status", F.lit("intact")).alias("status")
+    out = primary.join(found.select("file", "offset", "status"), ["file", "offset"], "left")
+    return out.select(F.col("key").alias("page_id"), "file", "offset", "length", "digest", status)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site posteriors and quality of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    names = ("evidence", "host_quality", "path_quality", "quality", "kept")
+    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal numbers of rows, each with the mixture of sources."""
     placed = sharding.interleave(table(spark, sf_dir, "documents"), n_shards=40)
@@ -73,6 +101,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_warc_audit": op2_warc_audit,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_sharding": op4_sharding,
     "op5_lm_score": op5_lm_score,
     "op6_near_dedup": op6_near_dedup,
@@ -82,6 +112,20 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_audit": """
+        WITH records AS (
+            SELECT page_id, page_id // 2048 AS file,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:pagemill:' || page_id || '>'
+                || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+                || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages
+        )
+        SELECT page_id, file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
+            CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
+            CASE WHEN page_id % 211 = 7 THEN 'missing' WHEN page_id % 97 = 5 THEN 'corrupt' ELSE 'intact' END AS status
+        FROM records
+    """,
     "op10_topk": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
