@@ -84,7 +84,10 @@ def assess(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("p"), (a["n"] + F.least(F.lit(5), p - a["p"])).alias("n")),
         lambda a: a["n"],
     )
-    step = step.select(*rest, F.coalesce(covered, F.lit(0)).cast("long").alias("_n_repeat_words"))
+    # The condition always holds. As it isn't deterministic, filters on the verdict stay above this select: pushed below,
+    # they would have the ordered windows computed once an element.
+    covered = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)))
+    step = step.select(*rest, covered.cast("long").alias("_n_repeat_words"))
     failed = (F.col("_n_words") < 10) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * 20)
     kept_words = F.regexp_count(F.col("_clean"), F.lit(WORD)).cast("long")
     step = step.select("*", failed.alias("_base_failed"), kept_words.alias("_clean_words"))
