@@ -215,28 +215,58 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return cut(old.unionByName(new))
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one block pair of one bucket to the pairs of different components that are worth verifying, or, where
-    these are more than the rows, to one row without a pair: such a block pair is verified as a whole."""
-    band, first, second = int(rows["band"].iloc[0]), int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    marks = np.frombuffer(b"".join(rows["marks"]), np.uint16).reshape(-1, COORDINATES)
-    bands, n, key = np.stack(list(rows["bands"])), rows["n"].to_numpy(np.int64), rows["key"].to_numpy(object)
-    label, block = pd.factorize(rows["label"])[0], rows["block"].to_numpy()
-    two, out = np.flatnonzero(block == second), []
-    for p in np.flatnonzero(block == first):
-        at = two[(label[two] != label[p]) & (100 * np.minimum(n[p], n[two]) >= PERCENT * np.maximum(n[p], n[two]))]
-        if first == second:
-            at = at[at > p]
-        if len(at):
-            at = at[(marks[at] == marks[p]).sum(1) >= AGREE]
-        if len(at) and band:
-            at = at[~(bands[at, :band] == bands[p, :band]).any(1)]
-        out += [(key[p], key[q]) for q in at]
-        if len(out) > len(rows):
-            out = [(None, None)]
-            break
-    found = pd.DataFrame(out, columns=["a", "b"], dtype=object)
-    return found.assign(band=band, value=rows["value"].iloc[0], i=first, j=second)
+_PAIR = ["band", "value", "i", "j"]
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block pair to the pairs of different components that are worth verifying.
+
+    A block pair with more of these than rows gives one row without a pair: it is verified as a whole. A block pair has a
+    bounded number of rows; those of the last one of a batch wait for the next batch.
+    """
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if len(rows):
+            at = _starts(rows)
+            held = rows.iloc[at[-1] :]
+            yield _candidates(rows.iloc[: at[-1]], at)
+    if held is not None:
+        yield _candidates(held, np.array([0, len(held)]))
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    """Where block pairs begin in sorted rows."""
+    keys = rows[_PAIR].to_numpy(np.int64)
+    return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+
+
+def _candidates(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """starts: of the block pairs in rows, their end included."""
+    out: list[tuple] = []
+    if len(rows):
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint16).reshape(-1, COORDINATES)
+        bands, n, key = np.stack(list(rows["bands"])), rows["n"].to_numpy(np.int64), rows["key"].to_numpy(object)
+        label, block = pd.factorize(rows["label"])[0], rows["block"].to_numpy()
+        places = rows[_PAIR].to_numpy(np.int64)
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            place, found = tuple(places[lo]), []
+            band, _, first, second = place
+            ones, twos = (lo + np.flatnonzero(block[lo:hi] == x) for x in (first, second))
+            for p in ones:
+                at = twos[(label[twos] != label[p]) & (100 * np.minimum(n[p], n[twos]) >= PERCENT * np.maximum(n[p], n[twos]))]
+                if first == second:
+                    at = at[at > p]
+                if len(at):
+                    at = at[(marks[at] == marks[p]).sum(1) >= AGREE]
+                if len(at) and band:
+                    at = at[~(bands[at, :band] == bands[p, :band]).any(1)]
+                found += [(key[p], key[q], *place) for q in at]
+                if len(found) > hi - lo:
+                    found = [(None, None, *place)]
+                    break
+            out += found
+    return pd.DataFrame(out, columns=["a", "b", *_PAIR]).astype({"a": object, "b": object})
 
 
 def _dense(rows: pd.DataFrame) -> pd.DataFrame:
@@ -315,14 +345,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = member.join(mixed, ["band", "value"]).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pair = ["band", "value", "i", "j"]
     rest = cut(rest.select("band", "value", "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    across = rest.join(classes.select("key", "n", "marks", "bands"), "key").groupBy(*pair)
-    across = cut(across.applyInPandas(_across, "a binary, b binary, band int, value long, i int, j int"))
+    # Most block pairs are a few rows: they are read from sorted partitions, as a call for each would cost more than its work.
+    across = rest.join(classes.select("key", "n", "marks", "bands"), "key").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    across = cut(across.mapInPandas(_across, "a binary, b binary, band int, value long, i int, j int"))
     few = across.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     few = cut(few)
-    dense = rest.join(across.where("a is null").select(*pair), pair, "left_semi")
-    dense = dense.join(sets(dense.select("key")), "key").groupBy(*pair).applyInPandas(_dense, "a binary, b binary")
+    dense = rest.join(across.where("a is null").select(*_PAIR), _PAIR, "left_semi")
+    dense = dense.join(sets(dense.select("key")), "key").groupBy(*_PAIR).applyInPandas(_dense, "a binary, b binary")
     late = cut(verify(few, sets(few.select(ends))).unionByName(dense))
     state = components(late, state)
 
