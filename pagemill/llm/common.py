@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, *partition: Column, rows_ordered: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends here, and a lost executor costs only
     a reread. The table's path is kept in the frame's attribute `cut_path` for drop()."""
     path = f"{shared_folder(df.sparkSession)}/pagemill-{uuid.uuid4().hex}"
