@@ -33,31 +33,41 @@ RIDGE, STEPS = 0.1, 10
 WEAKEST, STRONGEST = 2.0, 1000.0
 
 
-def measures(text: Column) -> list[Column]:
-    """Numbers of about 0 to 1 that don't depend on a text's language."""
-    text = F.coalesce(text, F.lit(""))
-    chars, words = F.greatest(F.length(text), F.lit(1)), F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1))
-    share = lambda signs, of: (F.length(text) - F.length(F.translate(text, signs, ""))) / of
-    distinct = F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+")))
-    return [
-        F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
-        F.least(F.lit(1.0), share("!?", words)),
-        F.least(F.lit(1.0), share("#*$%&<>", words)),
-        F.least(F.lit(1.0), share("|»·•", words)),
-        share("0123456789", chars),
-        share(".,;:", words),
-        F.log1p(words) / 10,
-        F.least(F.lit(1.0), distinct / words),
-        F.least(F.lit(1.0), chars / words / 20),
-    ]
+#: Number of measures.
+MEASURES = 9
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _x: numbers of about 0 to 1 that don't depend on a text's language.
+
+    Counts are taken in a select of their own, once a row. The condition on the result always holds; as it isn't
+    deterministic, filters stay above, where they don't take the counts again.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    of = lambda signs: F.length(text) - F.length(F.translate(text, signs, ""))
+    counts = {
+        "chars": F.greatest(F.length(text), F.lit(1)), "words": F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)),
+        "upper": F.regexp_count(text, F.lit(r"\p{Lu}")), "bangs": of("!?"), "signs": of("#*$%&<>"), "bars": of("|»·•"),
+        "digits": of("0123456789"), "stops": of(".,;:"), "distinct": F.size(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+"))),
+    }
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    counted = docs.select(*own, *[c.alias(f"_c_{k}") for k, c in counts.items()])
+    n = {k: F.col(f"_c_{k}") for k in counts}
+    share = lambda x, y: F.least(F.lit(1.0), x / y)
+    x = F.array(
+        share(n["upper"], n["chars"]), share(n["bangs"], n["words"]), share(n["signs"], n["words"]), share(n["bars"], n["words"]), share(n["digits"], n["chars"]),
+        n["stops"] / n["words"], F.log1p(n["words"]) / 10, share(n["distinct"], n["words"]), share(n["chars"] / n["words"], F.lit(20)),
+    )
+    return counted.select(*own, F.when(F.monotonically_increasing_id() >= 0, x).alias("_x"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[float], float]:
     """(weights with the constant last, labelled base rate) from all labelled rows."""
-    x = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.array(*measures(F.col(text_col))).alias("x"))
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    x = measured(known, "_text").select("_id", F.col("_x").alias("x"))
     y = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("double").alias("y"))
     rows = cut(x.join(y, "_id").select("x", "y"))
-    d = len(measures(F.lit(""))) + 1
+    d = MEASURES + 1
     weights, rate = np.zeros(d), 0.5
     for _ in range(STEPS):
         now = weights.copy()
@@ -106,10 +116,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """docs with _evidence (the document's own), _host_quality, _path_quality, _quality and _kept."""
     weights, rate = fit(docs, labels, id_col, text_col)
     score = F.lit(weights[-1])
-    for w, x in zip(weights, measures(F.col(text_col)), strict=False):
-        score = score + x * w
+    for i, w in enumerate(weights[:-1]):
+        score = score + F.col("_x")[i] * w
     evidence = 1 / (1 + F.exp(-score))
-    placed = docs.withColumns({"_host": stratum(host), "_path": stratum(path), "_evidence": evidence})
+    placed = measured(docs, text_col).withColumns({"_host": stratum(host), "_path": stratum(path), "_evidence": evidence})
     e = F.col("_evidence")
     paths = cut(placed.groupBy("_host", "_path").agg(F.count("*").alias("_pn"), F.round(F.sum(e), 4).alias("_ps"), F.round(F.sum(e * e), 4).alias("_pq")))
     hosts = cut(paths.groupBy("_host").agg(F.sum("_pn").alias("_hn"), F.sum("_ps").alias("_hs"), F.sum("_pq").alias("_hq")))
