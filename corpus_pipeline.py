@@ -24,8 +24,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return dedup.deduplicate(docs).select(*docs.columns)
+    """One document of each group of near-duplicates: five words, a similarity of 0.8 or more."""
+    return dedup.deduplicate(docs, percent=80).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,16 +6,20 @@ coordinates is filled, whatever the set's size; rounds end as soon as all are. T
 probability equal to the Jaccard similarity, and the number of agreements is concentrated at least as well as for t
 independent MinHash values.
 
-Candidates. A sketch is banded (BANDS bands of ROWS coordinates). Documents with equal shingle sets are one class from the
+Threshold. The similarity from which pairs are linked is a parameter, in percent; a Banding holds what follows from it: the
+number of bands, the length of the sketches and the bound of the sketch test. Verification and size filters use the percent.
+
+Candidates. A sketch is banded (bands of ROWS coordinates each). Documents with equal shingle sets are one class from the
 start. In each bucket, all classes are compared with one centre (the first of its classes by hash, so that the bands of a large group agree on few centres), never all with all. Verified
 links make components. Only buckets that still hold classes of different components need more: they are dealt over
 block pairs of bounded size, each pair of classes of different components is looked at in the first band that it shares,
-and passes on if its sketches agree often enough (a bound that a pair at the threshold misses with a probability below
+and passes on if its sketches agree often enough (a bound that a pair at the threshold misses with a probability of about
 1e-8). What passes is verified on the full sets; a block pair in which more pairs than rows pass is verified within its
 task, by one product of its sets' matrices, and returns only the links that join components. So no bucket is capped, and
 rows grow with the documents, not with the pairs.
 
-A pair at similarity 0.85 shares no band with probability (1 - 0.85^ROWS)^BANDS, about 7e-8.
+A pair at the threshold s shares no band with probability (1 - s^ROWS)^bands, at most MISS: 28 bands at 0.85 (7e-8), 41 at
+0.80 (9e-8).
 
 Components are found by repeated least-neighbour propagation with shortcuts over the verified links, each round written to the
 shared folder; nothing about documents is collected on the driver but row counts.
@@ -28,7 +32,8 @@ component; equal ids are one document for the purpose of component_id; an empty
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,15 +44,35 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import WORD, cut, drop
 
 SHINGLE = 5
-BANDS, ROWS = 28, 5
-COORDINATES = BANDS * ROWS
-#: Fewest agreeing coordinates of a pair that is verified: 6 standard deviations below the mean at 0.85.
-AGREE = int(COORDINATES * 0.85 - 6 * (COORDINATES * 0.85 * 0.15) ** 0.5)
+#: Coordinates of a band, and the largest probability that a pair at the threshold shares no band.
+ROWS, MISS = 5, 1e-7
 #: Rows of one side of a block pair.
 BLOCK = 256
-#: Links hold at 100 * intersection >= PERCENT * union.
+#: The threshold unless another is given; links hold at 100 * intersection >= percent * union.
 PERCENT = 85
 
+
+@dataclass(frozen=True)
+class Banding:
+    """What follows from a threshold."""
+
+    percent: int
+    bands: int
+    coordinates: int
+    #: Fewest agreeing coordinates of a pair that is verified: 6 standard deviations below the mean at the threshold.
+    agree: int
+
+
+def banding(percent: int) -> Banding:
+    s, bands = percent / 100, 1
+    while (1 - s**ROWS) ** bands > MISS:
+        bands += 1
+    t = bands * ROWS
+    return Banding(percent, bands, t, int(t * s - 6 * (t * s * (1 - s)) ** 0.5))
+
+
+COORDINATES, AGREE = banding(PERCENT).coordinates, banding(PERCENT).agree
+
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _ROUND = _U(0xA24BAED4963EE407)
@@ -109,56 +134,68 @@ def sketch(shingles: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return bins
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(how: Banding) -> Callable:
     """(id, text bytes, text mark) to (id, text mark, n, class key, sketch of 16 bits a coordinate, band keys)."""
-    for batch in batches:
-        n, keys, marks, bands = [], [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py() or b"")
-            n.append(len(s))
-            if not len(s):
-                keys.append(None), marks.append(None), bands.append(None)
-                continue
-            c = sketch(s)
-            keys.append(_key(s))
-            marks.append(_mixed(c).astype(np.uint16).tobytes())
-            bands.append(_mixed((c.reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            ["id", "mark", "n", "key", "marks", "bands"],
-        )
-
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, marks, bands = [], [], [], []
+            for text in batch.column(1):
+                s = shingle_set(text.as_py() or b"")
+                n.append(len(s))
+                if not len(s):
+                    keys.append(None), marks.append(None), bands.append(None)
+                    continue
+                c = sketch(s, how.coordinates)
+                keys.append(_key(s))
+                marks.append(_mixed(c).astype(np.uint16).tobytes())
+                bands.append(_mixed((c.reshape(how.bands, ROWS) * _FACTORS[:ROWS]).sum(1, dtype=np.uint64) + np.arange(how.bands, dtype=np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["id", "mark", "n", "key", "marks", "bands"],
+            )
+
+    return run
+
+
+def _verified(percent: int) -> Callable:
     """(a, b, set of a, set of b) to the linked (a, b)."""
-    for batch in batches:
-        a, b, left, right = batch.columns
-        keep = []
-        for i in range(batch.num_rows):
-            one, two = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * common >= PERCENT * (len(one) + len(two) - common):
-                keep.append(i)
-        keep = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], ["a", "b"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left, right = batch.columns
+            keep = []
+            for i in range(batch.num_rows):
+                one, two = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * common >= percent * (len(one) + len(two) - common):
+                    keep.append(i)
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], ["a", "b"])
+
+    return run
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of class keys whose full sets are similar enough; `sets` has the set of each class key."""
     left = sets.select(F.col("key").alias("a"), F.col("members").alias("_left"))
     right = sets.select(F.col("key").alias("b"), F.col("members").alias("_right"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "_left", "_right")
-    return both.mapInArrow(_verified, "a binary, b binary")
+    return both.mapInArrow(_verified(percent), "a binary, b binary")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs whose sketches agree in AGREE coordinates at least."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COORDINATES) for c in ("ma", "mb"))
-        keep = pa.array(np.flatnonzero((one == two).sum(1) >= AGREE))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+def _agreeing(how: Banding) -> Callable:
+    """Candidate pairs whose sketches agree in how.agree coordinates at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, how.coordinates) for c in ("ma", "mb"))
+            keep = pa.array(np.flatnonzero((one == two).sum(1) >= how.agree))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    return run
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -218,21 +255,25 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 _PAIR = ["band", "value", "i", "j"]
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _across(how: Banding) -> Callable:
     """Rows sorted by block pair to the pairs of different components that are worth verifying.
 
     A block pair with more of these than rows gives one row without a pair: it is verified as a whole. A block pair has a
     bounded number of rows; those of the last one of a batch wait for the next batch.
     """
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if len(rows):
-            at = _starts(rows)
-            held = rows.iloc[at[-1] :]
-            yield _candidates(rows.iloc[: at[-1]], at)
-    if held is not None:
-        yield _candidates(held, np.array([0, len(held)]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(rows):
+                at = _starts(rows)
+                held = rows.iloc[at[-1] :]
+                yield _candidates(rows.iloc[: at[-1]], at, how)
+        if held is not None:
+            yield _candidates(held, np.array([0, len(held)]), how)
+
+    return run
 
 
 def _starts(rows: pd.DataFrame) -> np.ndarray:
@@ -241,11 +282,11 @@ def _starts(rows: pd.DataFrame) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
 
 
-def _candidates(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+def _candidates(rows: pd.DataFrame, starts: np.ndarray, how: Banding) -> pd.DataFrame:
     """starts: of the block pairs in rows, their end included."""
     out: list[tuple] = []
     if len(rows):
-        marks = np.frombuffer(b"".join(rows["marks"]), np.uint16).reshape(-1, COORDINATES)
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint16).reshape(-1, how.coordinates)
         bands, n, key = np.stack(list(rows["bands"])), rows["n"].to_numpy(np.int64), rows["key"].to_numpy(object)
         label, block = pd.factorize(rows["label"])[0], rows["block"].to_numpy()
         places = rows[_PAIR].to_numpy(np.int64)
@@ -254,11 +295,11 @@ def _candidates(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
             band, _, first, second = place
             ones, twos = (lo + np.flatnonzero(block[lo:hi] == x) for x in (first, second))
             for p in ones:
-                at = twos[(label[twos] != label[p]) & (100 * np.minimum(n[p], n[twos]) >= PERCENT * np.maximum(n[p], n[twos]))]
+                at = twos[(label[twos] != label[p]) & (100 * np.minimum(n[p], n[twos]) >= how.percent * np.maximum(n[p], n[twos]))]
                 if first == second:
                     at = at[at > p]
                 if len(at):
-                    at = at[(marks[at] == marks[p]).sum(1) >= AGREE]
+                    at = at[(marks[at] == marks[p]).sum(1) >= how.agree]
                 if len(at) and band:
                     at = at[~(bands[at, :band] == bands[p, :band]).any(1)]
                 found += [(key[p], key[q], *place) for q in at]
@@ -269,54 +310,59 @@ def _candidates(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", *_PAIR]).astype({"a": object, "b": object})
 
 
-def _dense(rows: pd.DataFrame) -> pd.DataFrame:
+def _dense(percent: int) -> Callable:
     """Rows (key, label, block, members) of one block pair to links that join all components that its linked pairs do.
 
     Intersections of all pairs of sets are a product of 0/1 matrices over the shingles that occur twice, some columns at
     a time; the results are whole numbers.
     """
-    first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    key, block = rows["key"].to_numpy(object), rows["block"].to_numpy()
-    sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
-    n = np.array([len(x) for x in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, twice = np.repeat(np.arange(len(sets)), n), times > 1
-    place = np.cumsum(twice) - 1
-    row, column = row[twice[column]], place[column[twice[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    common = np.zeros((len(one), len(two)))
-    for at in range(0, int(twice.sum()), 8192):
-        lo, hi = np.searchsorted(column, [at, at + 8192])
-        part = np.zeros((len(sets), 8192), np.float32)
-        part[row[lo:hi], column[lo:hi] - at] = 1
-        common += part[one] @ part[two].T
-    linked = 100 * common >= PERCENT * (n[one][:, None] + n[two][None, :] - common)
-    label = pd.factorize(rows["label"])[0]
-    up = np.arange(label.max() + 1)
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for p, q in np.argwhere(linked):
-        a, b = root(label[one[p]]), root(label[two[q]])
-        if a != b:
-            up[b] = a
-            out.append((key[one[p]], key[two[q]]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept of every row, and text_mark, a 64-bit hash of its text."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        key, block = rows["key"].to_numpy(object), rows["block"].to_numpy()
+        sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+        n = np.array([len(x) for x in sets])
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, twice = np.repeat(np.arange(len(sets)), n), times > 1
+        place = np.cumsum(twice) - 1
+        row, column = row[twice[column]], place[column[twice[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        common = np.zeros((len(one), len(two)))
+        for at in range(0, int(twice.sum()), 8192):
+            lo, hi = np.searchsorted(column, [at, at + 8192])
+            part = np.zeros((len(sets), 8192), np.float32)
+            part[row[lo:hi], column[lo:hi] - at] = 1
+            common += part[one] @ part[two].T
+        linked = 100 * common >= percent * (n[one][:, None] + n[two][None, :] - common)
+        label = pd.factorize(rows["label"])[0]
+        up = np.arange(label.max() + 1)
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for p, q in np.argwhere(linked):
+            a, b = root(label[one[p]]), root(label[two[q]])
+            if a != b:
+                up[b] = a
+                out.append((key[one[p]], key[two[q]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, component_id and kept of every row, and text_mark, a 64-bit hash of its text; links are pairs at `percent` or more."""
+    how = banding(percent)
     text = F.col(text_col)
     plain = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("mark"))
     kind = plain.schema["id"].dataType.simpleString()
-    signed = cut(plain.mapInArrow(_signatures, f"id {kind}, mark long, n long, key binary, marks binary, bands array<long>"))
+    signed = cut(plain.mapInArrow(_signatures(how), f"id {kind}, mark long, n long, key binary, marks binary, bands array<long>"))
     linkable = signed.where("key is not null and id is not null")
     firsts = [F.first(c).alias(c) for c in ("n", "marks", "bands")]
     classes = cut(linkable.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("one"), *firsts).select("key", "one.id", "one.mark", "n", "marks", "bands"))
@@ -328,15 +374,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = cut(banded.join(buckets, ["band", "value"]))
     pairs = crowded.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    likely = cut(near.select("a", "b", "ma", "mb").mapInArrow(_agreeing, "a binary, b binary"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    likely = cut(near.select("a", "b", "ma", "mb").mapInArrow(_agreeing(how), "a binary, b binary"))
 
     def sets(keys: DataFrame) -> DataFrame:
         one = classes.join(keys.distinct(), "key", "left_semi").select("key", "id", "mark")
         return plain.join(one, ["id", "mark"]).select("text", "key").mapInArrow(_sets, "key binary, members binary").dropDuplicates(["key"])
 
     ends = F.explode(F.array("a", "b")).alias("key")
-    found = cut(verify(likely, sets(likely.select(ends))))
+    found = cut(verify(likely, sets(likely.select(ends)), percent))
     state = components(found)
 
     # Buckets that hold more than one component.
@@ -348,12 +394,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(rest.select("band", "value", "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     # Most block pairs are a few rows: they are read from sorted partitions, as a call for each would cost more than its work.
     across = rest.join(classes.select("key", "n", "marks", "bands"), "key").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    across = cut(across.mapInPandas(_across, "a binary, b binary, band int, value long, i int, j int"))
+    across = cut(across.mapInPandas(_across(how), "a binary, b binary, band int, value long, i int, j int"))
     few = across.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
     few = cut(few)
     dense = rest.join(across.where("a is null").select(*_PAIR), _PAIR, "left_semi")
-    dense = dense.join(sets(dense.select("key")), "key").groupBy(*_PAIR).applyInPandas(_dense, "a binary, b binary")
-    late = cut(verify(few, sets(few.select(ends))).unionByName(dense))
+    dense = dense.join(sets(dense.select("key")), "key").groupBy(*_PAIR).applyInPandas(_dense(percent), "a binary, b binary")
+    late = cut(verify(few, sets(few.select(ends)), percent).unionByName(dense))
     state = components(late, state)
 
     named = classes.select("key", "id").join(state, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -365,9 +411,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), kept.alias("kept"), F.col("mark").alias("text_mark"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component; all columns stay, and so do all rows without a word or without an id."""
-    judged = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
+    judged = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
     chosen = judged.groupBy(F.col(id_col).alias("_id")).agg(F.min("text_mark").alias("_mark"))
     linkable = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)) & F.col(id_col).isNotNull()
     rows = docs.where(linkable).withColumn("_id", F.col(id_col)).withColumn("_mark", F.xxhash64(text_col))

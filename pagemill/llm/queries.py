@@ -69,7 +69,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_mark")
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_mark")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

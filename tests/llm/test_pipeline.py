@@ -1,4 +1,5 @@
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -48,3 +49,22 @@ def test_odd_rows(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "documents.parquet")).where("false").write.parquet(str(empty / "documents.parquet"))
     spark.read.parquet(str(tmp_path / "labels.parquet")).where("false").write.parquet(str(empty / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
+def test_near_dedup_links_from_080(spark):
+    # One changed word makes (n - 5) / (n + 5) of n shingles: 45 gives 0.80, 61 gives 0.848, 44 gives 0.796.
+    rnd = random.Random(8)
+    rows, groups = [], {n: 6 for n in (44, 45, 46, 48, 50, 53, 56, 59, 61, 70)}
+    for n, times in groups.items():
+        for _ in range(times):
+            base = [f"w{rnd.randint(0, 10**6)}" for _ in range(n + 4)]
+            copy = list(base)
+            copy[rnd.randint(10, n - 8)] = f"x{len(rows)}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(rows)) for j in range(i)}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) == 48 and sum(0.75 < x < 0.8 for x in alike.values()) == 6
+    gone = {i for (i, _), x in alike.items() if x >= 0.8}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted({i for i, _ in rows} - gone)
