@@ -263,7 +263,7 @@ def chat_last5_context(spark: SparkSession, d: str) -> DataFrame:
 )
 def response_clean(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.lit("<think>plan\nx</think>"), F.col("text"), F.lit("[reasoning]y[/reasoning]"))
-    return table(spark, d, "conversations").where(~F.col("text").rlike(r"\n\s*\n")).select("conv_id", "turn", tx.clean_response(said).alias("answer"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.clean_response(said).alias("answer"))
 
 
 @query("SELECT event_id, n AS in_window, n <= 3 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n FROM events)")
