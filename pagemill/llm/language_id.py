@@ -5,10 +5,10 @@ blocks, every block is compressed with every dictionary, and the language with t
 holds most of the text's sequences. Blocks keep the dictionary's weight in long texts, whose later parts would otherwise
 be compressed against their own beginning. A prediction whose margin over the second-best is narrow is rejected.
 
-What is fitted is bounded: at most `max_languages` languages (the most frequent ones), `slots` excerpts of `excerpt`
-characters each. A slot gets the excerpt whose document has the least hash, so the choice does not depend on the
-partitioning. The dictionaries (max_languages * slots * excerpt characters at most) are all that goes to the driver and is
-broadcast.
+Every language of the training rows gets a dictionary; what is fitted of each is bounded: `slots` excerpts of `excerpt`
+characters. A slot gets the excerpt whose document has the least hash, so the choice does not depend on the
+partitioning. The dictionaries (slots * excerpt characters of a language at most) are all that goes to the driver and is
+broadcast. A task holds the compressors of GROUP languages at a time and compares all of them.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text where nothing could be
 learned; ties go to the more frequent language; repeated rows get equal results; an empty table gives an empty one.
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 #: Bytes of a block, the compression level, and the margin per byte below which a prediction is rejected.
 BLOCK, LEVEL, NARROW = 2048, 6, 0.004
+#: Languages whose compressors are held at a time.
+GROUP = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
-def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 192, excerpt: int = 512, max_languages: int = 64) -> dict[str, bytes]:
+def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slots: int = 192, excerpt: int = 512) -> dict[str, bytes]:
     """Each language's dictionary, the most frequent language first, from the rows for which `train` holds."""
     text = F.lower(F.col(text_col))
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -39,14 +41,25 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit("start")), F.greatest(F.length(text) - excerpt, F.lit(0)) + 1) + 1
     pick = F.struct(h.alias("h"), F.substring(text, start.cast("int"), F.lit(excerpt)).alias("piece"))
     picked = rows.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(slots)).alias("slot"), pick.alias("pick"))
-    frequent = picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    best = picked.groupBy("lang", "slot").agg(F.min("pick").alias("pick")).join(F.broadcast(frequent), "lang")
+    frequent = picked.groupBy("lang").count()
+    best = picked.groupBy("lang", "slot").agg(F.min("pick").alias("pick")).join(frequent, "lang")
     out: dict[str, list] = {}
     for r in best.select("lang", "slot", "count", "pick.piece").orderBy(F.desc("count"), "lang", "slot").collect():
         out.setdefault(r.lang, []).append(r.piece)
     return {lang: " ".join(pieces).encode() for lang, pieces in out.items()}
 
 
+def _packers(contents: list[bytes]) -> list:
+    import zstandard as z
+
+    packers = []
+    for content in contents:
+        trained = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        trained.precompute_compress(level=LEVEL)
+        packers.append(z.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False))
+    return packers
+
+
 def _sizes(text: bytes, packers: list) -> np.ndarray:
     """Compressed bytes of a text by each packer, block by block; cuts fall on blanks near the block's end, if any."""
     total, at = np.zeros(len(packers)), 0
@@ -70,21 +83,21 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     schema = T.StructType([*docs.schema, *(T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard as z
-
-        packers = []
-        for content in shared.value.values():
-            trained = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            trained.precompute_compress(level=LEVEL)
-            packers.append(z.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False))
+        contents = list(shared.value.values())
+        held = _packers(contents) if len(contents) <= GROUP else None
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for text in batch.column(at).to_pylist():
-                if not packers or text is None or not _LETTER.search(text):
+            texts = [text.lower().encode() if contents and text is not None and _LETTER.search(text) else None for text in batch.column(at).to_pylist()]
+            total = np.zeros((len(texts), len(contents)))
+            for first in range(0, len(contents), GROUP):
+                packers = held or _packers(contents[first : first + GROUP])
+                for i, data in enumerate(texts):
+                    if data is not None:
+                        total[i, first : first + GROUP] = _sizes(data, packers)
+            for data, sizes in zip(texts, total, strict=True):
+                if data is None:
                     langs.append(UNKNOWN), scores.append(0.0), rejected.append(True)
                     continue
-                data = text.lower().encode()
-                sizes = _sizes(data, packers)
                 best = int(sizes.argmin())
                 # Bytes saved over each other language, a byte of text, as evidence of a logistic choice.
                 evidence = (sizes - sizes[best]) / len(data)

@@ -38,3 +38,15 @@ def test_nothing_learned_and_empty(spark):
     none = docs.where("false").withColumn("lang", F.lit(None).cast("string"))
     assert language_id.learn(none, F.lit(True)) == {}
     assert language_id.classify(none, {"aa": b"x"}).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    rnd = random.Random(5)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for x in names}
+    rows = [(i, " ".join(rnd.choice(words[x]) for _ in range(60)), x) for i, x in enumerate(names * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learn(docs, F.col("doc_id") < 140)
+    assert set(learned) == set(names)
+    got = language_id.classify(docs.where("doc_id >= 140"), learned).collect()
+    assert len(got) == 70 and all(r.lang_pred == r.lang for r in got)
