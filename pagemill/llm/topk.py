@@ -7,8 +7,9 @@ cell; its k-th best scores are exact lower bounds. The second pass sends a group
 bound reaches the lowest of them, and each query keeps only scores that reach its own. A last top-k merges both passes.
 
 Pivots come from a bounded sample of the data (`n_pivots` rows, chosen by hash) and are the only thing broadcast, besides
-n_pivots summaries. A cell's data is dealt over blocks of about `block` rows, queries over slices of the same size, so a
-hot cell or hot vector is many tasks and a task holds one block and one slice at a time. All scores are integers; bounds
+n_pivots summaries. A cell's data is dealt over blocks of about `block` rows, the queries sent to it over slices of the same size,
+by counts; a task gets one block and one slice, so a hot cell or hot vector is many tasks. Each block is replicated over
+the slices of its cell, each slice over the blocks. All scores are integers; bounds
 are in doubles with a margin, and only ever widen what is compared.
 
 Defined results: vectors null, or holding null or non-finite components, take no part; shorter vectors count as
@@ -121,26 +122,35 @@ def top_k(
             radius = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
             yield rows.assign(cell=cell.astype(np.int32), radius=radius, length=np.sqrt((x**2).sum(1)))
 
-    placed = cut(plain.mapInPandas(assign, "id long, v array<long>, asks boolean, cell int, radius double, length double"))
+    # The lot deals queries over slices, those with equal ids or vectors too; it is fixed as the table is written.
+    placed = plain.mapInPandas(assign, "id long, v array<long>, asks boolean, cell int, radius double, length double")
+    placed = cut(placed.withColumn("lot", F.xxhash64(F.monotonically_increasing_id())))
     about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r"), F.max(F.when(F.col("asks"), F.col("radius"))).alias("R"), F.max(F.when(F.col("asks"), F.col("length"))).alias("Q"))
     about = {r.cell: r for r in about.collect()}  # one row a pivot at most
     blocks = {c: max(1, -(-r.n // block)) for c, r in about.items()}
     dealt = F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b)])
     data = placed.select(F.col("cell"), F.pmod(F.xxhash64("id"), F.element_at(dealt, F.col("cell"))).cast("int").alias("part"), "id", "v")
-    asked = placed.where("asks").select("id", "v", F.col("cell").alias("group"))
+    asked = placed.where("asks").select("id", "v", "lot", F.col("cell").alias("group"))
     least = F.lit(int(np.iinfo(np.int64).min)).cast("long")
 
     def joined(sent: DataFrame) -> DataFrame:
-        """sent: id, v, floor and the cell to search. Each query goes to every block of that cell."""
+        """sent: id, v, lot, floor and the cell to search. Each query goes to every block of that cell."""
+        counts = {r.cell: r["count"] for r in sent.groupBy("cell").count().collect()}  # one row a pivot at most
+        if not counts:
+            return spark.createDataFrame([], schema)
+        n_slices = F.element_at(F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, -(-m // block))]), F.col("cell"))
         parts = F.explode(F.sequence(F.lit(0), F.element_at(dealt, F.col("cell")) - 1)).alias("part")
-        to = sent.select("cell", parts, "id", "v", "floor")
-        return data.groupBy("cell", "part").cogroup(to.groupBy("cell", "part")).applyInPandas(_solve(k, dim, 1024), schema)
+        to = sent.select("cell", parts, F.pmod("lot", n_slices).cast("int").alias("slice"), "id", "v", "floor")
+        # A cell to which nothing is sent has no slices, and its data stays out.
+        copies = data.select("cell", "part", F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice"), "id", "v")
+        key = ["cell", "part", "slice"]
+        return copies.groupBy(*key).cogroup(to.groupBy(*key)).applyInPandas(_solve(k, dim, 1024), schema)
 
     def merged(found: DataFrame) -> DataFrame:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    first = cut(merged(joined(asked.select(F.col("group").alias("cell"), "id", "v", least.alias("floor")))))
+    first = cut(merged(joined(asked.select(F.col("group").alias("cell"), "id", "v", "lot", least.alias("floor")))))
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     asked = cut(asked.join(floors.groupBy("id").agg(F.max("floor").alias("floor")), "id", "left").withColumn("floor", F.coalesce("floor", least)))
     lows = {r.group: r.low for r in asked.groupBy("group").agg(F.min("floor").alias("low")).collect()}
@@ -158,6 +168,6 @@ def top_k(
         dot = F.aggregate(F.zip_with("v", "pivot", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
         sent = asked.join(routes, "group").where((dot + length * F.col("r")) * (1 + 1e-9) + 1 >= F.col("floor"))
-        second = joined(sent.select("cell", "id", "v", "floor"))
+        second = joined(sent.select("cell", "id", "v", "lot", "floor"))
         first = first.select("query_id", "vec_id", "score").unionByName(second)
     return merged(first).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -37,3 +37,23 @@ def test_large_numbers_and_empty(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=3, n_pivots=3).collect()} == brute(rows, 3)
     assert topk.top_k(vectors.where("false"), F.lit(True)).collect() == []
+
+
+def test_a_task_holds_one_slice(spark, monkeypatch):
+    solve = topk._solve
+
+    def watched(k, dim, slice_rows):
+        run = solve(k, dim, slice_rows)
+
+        def bounded(left, right):
+            assert len(left) <= 128 and len(right) <= 128, (len(left), len(right))
+            return run(left, right)
+
+        return bounded
+
+    monkeypatch.setattr(topk, "_solve", watched)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, F.lit(True), k=3, n_pivots=2, block=64).collect()
+    assert len(got) == 1800 and {tuple(r) for r in got if r.query_id % 20 == 0} == brute(rows, 3)
