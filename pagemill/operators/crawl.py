@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.operators import html
+from pagemill.storage import cut, drop
 
 
 def check(max_depth: int, max_pages: int, patterns: tuple[str, ...]) -> None:
@@ -20,38 +19,39 @@ def check(max_depth: int, max_pages: int, patterns: tuple[str, ...]) -> None:
         re.compile(p)
 
 
-def robots_rules(robots: DataFrame) -> DataFrame:
-    """(host, allow, path) of the rules for all agents, from (host, body)."""
+def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(host, allow, path) of the rules for one agent, by default those for all, from (host, body).
+
+    User-agent lines that follow each other share the rules after them; the first such line after a rule opens a new group.
+    """
     lines = robots.select("host", F.posexplode(F.split("body", r"\r?\n")).alias("o", "line"))
     field = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1))))
     value = F.trim(F.regexp_replace(F.regexp_replace("line", r"^[^:]*:", ""), r"\s*#.*$", ""))
-    from pyspark.sql import Window
-
-    agent = F.last(F.when(field == "user-agent", value), ignorenulls=True).over(Window.partitionBy("host").orderBy("o"))
-    rules = lines.select("host", field.alias("field"), value.alias("path"), agent.alias("agent"))
-    return rules.where("agent = '*' and field in ('allow', 'disallow') and path <> ''").select("host", (F.col("field") == "allow").alias("allow"), "path")
-
-
-def allowed(links: DataFrame, rules: DataFrame, link_col: str = "link") -> DataFrame:
-    """Links whose longest matching rule, if any, allows them; allow wins among equals."""
+    lines = lines.select("host", "o", field.alias("field"), value.alias("path")).where("field in ('user-agent', 'allow', 'disallow')")
+    by_line = Window.partitionBy("host").orderBy("o")
+    names = F.col("field") == "user-agent"
+    opens = names & ~F.coalesce(F.lag(names).over(by_line), F.lit(False))
+    lines = lines.withColumn("group", F.sum(opens.cast("int")).over(by_line))
+    meant = F.bool_or(names & (F.lower("path") == agent.lower())).over(Window.partitionBy("host", "group"))
+    rules = lines.withColumn("meant", meant).where(F.col("meant") & ~names & (F.col("path") != ""))
+    return rules.select("host", (F.col("field") == "allow").alias("allow"), "path")
+
+
+def mark_allowed(links: DataFrame, rules: DataFrame, link_col: str = "link", good_col: str = "good") -> DataFrame:
+    """links with good_col false where the longest matching rule, if any, forbids them; allow wins among equals."""
     path = F.coalesce(F.nullif(F.try_parse_url(F.col(link_col), F.lit("PATH")), F.lit("")), F.lit("/"))
     keyed = links.withColumn("_host", urls.authority(F.col(link_col))).withColumn("_path", path)
     seen = keyed.select("_host", "_path").distinct()
     hit = seen.join(rules, (F.col("_host") == F.col("host")) & F.col("_path").startswith(F.col("path")))
     verdict = hit.groupBy("_host", "_path").agg(F.max(F.struct(F.length("path").alias("n"), "allow"))["allow"].alias("_ok"))
-    return keyed.join(verdict, ["_host", "_path"], "left").where(F.coalesce("_ok", F.lit(True))).drop("_host", "_path", "_ok")
+    judged = keyed.join(verdict, ["_host", "_path"], "left").withColumn(good_col, F.col(good_col) & F.coalesce("_ok", F.lit(True)))
+    return judged.select(*links.columns)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def allowed(links: DataFrame, rules: DataFrame, link_col: str = "link") -> DataFrame:
+    """The links that mark_allowed() lets be."""
+    marked = mark_allowed(links.withColumn("_good", F.lit(True)), rules, link_col, "_good")
+    return marked.where("_good").drop("_good")
 
 
 def edges_of(pages: DataFrame, scope: str = "main") -> DataFrame:
@@ -72,24 +72,25 @@ def crawl(
     """
     check(max_depth, max_pages, (*exclude, *include))
     start = spark.createDataFrame([(seed,)], "url string").select(urls.strip(F.col("url")).alias("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"))
-    seen = frontier = _cut(start)
+    seen = frontier = cut(start)
+    known = nodes.select("url").distinct()
     total, skipped, host = 1, 0, urls.authority(urls.strip(F.lit(seed)))
     for depth in range(max_depth):
-        out = edges.join(frontier.select(F.col("url").alias("src")), "src").join(nodes.select(F.col("url").alias("src")).distinct(), "src", "left_semi")
-        good = out.where(urls.admitted(F.col("dst"), host, exclude, include))
-        if rules is not None:
-            good = allowed(good, rules, "dst")
-        fresh = good.groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent_url")).join(seen.select("url"), "url", "left_anti")
-        fresh = _cut(fresh)
-        n = fresh.count()
-        rejected = out.select("dst").distinct().count() - good.select("dst").distinct().count()
-        admitted = _cut(fresh.orderBy("url").limit(max(0, max_pages - total)).select("url", F.lit(depth + 1).alias("depth"), "parent_url"))
+        # One pass over the edges a level: links of pages of the frontier that can be read, with what was found of each.
+        out = edges.join(F.broadcast(frontier.select(F.col("url").alias("src"))), "src").join(known.select(F.col("url").alias("src")), "src", "left_semi")
+        out = out.groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent_url")).withColumn("good", urls.admitted(F.col("url"), host, exclude, include))
+        out = cut(mark_allowed(out, rules, "url") if rules is not None else out)
+        fresh = out.where("good").join(F.broadcast(seen.select("url")), "url", "left_anti")
+        fresh = fresh.orderBy("url")
+        n, rejected = fresh.count(), out.where("not good").count()
         taken = min(n, max(0, max_pages - total))
         skipped += rejected + n - taken
         total += taken
         if not taken:
             break
-        seen, frontier = _cut(seen.unionByName(admitted)), admitted
+        admitted = cut(fresh.limit(taken).select("url", F.lit(depth + 1).alias("depth"), "parent_url"))
+        drop(out)
+        seen, frontier = cut(seen.unionByName(admitted)), admitted
     found = seen.join(nodes.select("url").distinct().withColumn("found", F.lit(True)), "url", "left").withColumn("found", F.coalesce("found", F.lit(False)))
     ok = found.where("found").count()
     return found, {"total_urls": total, "success_count": ok, "failed_count": total - ok, "skipped_count": skipped}
