@@ -50,9 +50,7 @@ def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, site posteriors and quality of all documents."""
     docs = table(spark, sf_dir, "documents")
-    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
-    names = ("evidence", "host_quality", "path_quality", "quality", "kept")
-    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+    return quality_classifier.judge(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"), carry=["doc_id"])
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +87,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of line-first cleaning on all documents."""
-    judged = quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_words")
-    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+    return quality_rules.assess(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("clean")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
