@@ -10,23 +10,32 @@ Threshold. The similarity from which pairs are linked is a parameter, in percent
 number of bands, the length of the sketches and the bound of the sketch test. Verification and size filters use the percent.
 
 Candidates. A sketch is banded (bands of ROWS coordinates each). Documents with equal shingle sets are one class from the
-start. In each bucket, all classes are compared with one centre (the first of its classes by hash, so that the bands of a large group agree on few centres), never all with all. Verified
-links make components. Only buckets that still hold classes of different components need more: they are dealt over
-block pairs of bounded size, each pair of classes of different components is looked at in the first band that it shares,
-and passes on if its sketches agree often enough (a bound that a pair at the threshold misses with a probability of about
-1e-8). What passes is verified on the full sets; a block pair in which more pairs than rows pass is verified within its
-task, by one product of its sets' matrices, and returns only the links that join components. So no bucket is capped, and
-rows grow with the documents, not with the pairs.
-
-A pair at the threshold s shares no band with probability (1 - s^ROWS)^bands, at most MISS: 28 bands at 0.85 (7e-8), 41 at
-0.80 (9e-8).
+start. In each bucket, all classes are compared with one centre (the first of its classes by hash, so that the bands of a
+large group agree on few centres), never all with all. Verified links make components. Buckets that still hold classes
+of different components are compared with further centres, in CENTRES rounds at most, each a class from outside the bucket's
+largest component. What is then left of different components are the classes outside the largest one (the minority), which
+are to be compared with all. A bucket of more than HOT classes is first split by a second band, as a similar pair shares two. Then minority and
+classes are dealt over block pairs, of bounded numbers of classes and shingles; each pair of classes of different components
+is looked at in the first bands that it shares, and passes on if its sketches agree often enough (a bound that a pair at the
+threshold misses with a probability of about 1e-8). What passes is verified on the full sets; a block pair in which more
+pairs than rows pass is verified within its task, by one product of its sets' matrices, and returns only the links that join
+components. So no bucket is capped. Rows of the block pairs of a bucket are its classes times its minority over BLOCK: as
+many as its classes as long as the minority fills one block, but more where a large bucket holds many components, whatever
+its two bands, whose members no centre has linked.
+
+A pair at the threshold s shares fewer than two of the bands with probability MISS at most: 34 bands at 0.85, 49 at 0.80.
+
+Hot buckets. A bucket of more than a 50,000th of all banded rows is hot; there are fewer than 50,000 of these, whatever the
+data, so they are broadcast to the rows; all others are joined by bucket, none of them with more rows than that.
 
 Components are found by repeated least-neighbour propagation with shortcuts over the verified links, each round written to the
 shared folder; nothing about documents is collected on the driver but row counts.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; with fewer than 5 words the whole
 sequence is the one shingle; repeated rows are one class; a document whose id is null is returned alone, kept and without
-component; equal ids are one document for the purpose of component_id; an empty table gives an empty result.
+component; equal ids are one document for the purpose of component_id; a very long text is hashed whole in its task (a
+batch of texts is bounded by Spark's spark.sql.execution.arrow.maxBytesPerBatch) and counts with its shingles in a block; an
+empty table gives an empty result. near_duplicates() returns its own columns, deduplicate() those of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,13 +50,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, cut, drop
+from pagemill.llm.common import BROADCAST_ROWS, WORD, Renamed, cut, drop, joined
 
 SHINGLE = 5
-#: Coordinates of a band, and the largest probability that a pair at the threshold shares no band.
+#: Coordinates of a band, and the largest probability that a pair at the threshold shares fewer than two bands.
 ROWS, MISS = 5, 1e-7
-#: Rows of one side of a block pair.
-BLOCK = 256
+#: Rows, and shingles, of one side of a block pair, about; classes of a bucket beyond which a second band splits it.
+BLOCK, BLOCK_SHINGLES, HOT = 256, 1 << 20, 2048
+#: Rounds of centres in buckets of several components, the last one without a new centre.
+CENTRES = 2
 #: The threshold unless another is given; links hold at 100 * intersection >= percent * union.
 PERCENT = 85
 
@@ -65,7 +76,8 @@ class Banding:
 
 def banding(percent: int) -> Banding:
     s, bands = percent / 100, 1
-    while (1 - s**ROWS) ** bands > MISS:
+    p = s**ROWS
+    while (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1) > MISS:
         bands += 1
     t = bands * ROWS
     return Banding(percent, bands, t, int(t * s - 6 * (t * s * (1 - s)) ** 0.5))
@@ -252,7 +264,10 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return cut(old.unionByName(new))
 
 
-_PAIR = ["band", "value", "i", "j"]
+_BUCKET = ["band", "value", "band2", "value2"]
+_PAIR = [*_BUCKET, "i", "j"]
+#: _PAIR with types; band2 is -1 in buckets that a second band doesn't split.
+_PAIR_TYPES = "band int, value long, band2 int, value2 long, i int, j int"
 
 
 def _across(how: Banding) -> Callable:
@@ -288,20 +303,22 @@ def _candidates(rows: pd.DataFrame, starts: np.ndarray, how: Banding) -> pd.Data
     if len(rows):
         marks = np.frombuffer(b"".join(rows["marks"]), np.uint16).reshape(-1, how.coordinates)
         bands, n, key = np.stack(list(rows["bands"])), rows["n"].to_numpy(np.int64), rows["key"].to_numpy(object)
-        label, block = pd.factorize(rows["label"])[0], rows["block"].to_numpy()
+        label, order = pd.factorize(rows["label"])[0], rows["order"].to_numpy(np.int64)
+        minor, asks, asked = (rows[c].to_numpy(bool) for c in ("minor", "asks", "asked"))
         places = rows[_PAIR].to_numpy(np.int64)
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             place, found = tuple(places[lo]), []
-            band, _, first, second = place
-            ones, twos = (lo + np.flatnonzero(block[lo:hi] == x) for x in (first, second))
+            band, second = place[0], place[2]
+            ones, twos = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(asked[lo:hi])
             for p in ones:
-                at = twos[(label[twos] != label[p]) & (100 * np.minimum(n[p], n[twos]) >= how.percent * np.maximum(n[p], n[twos]))]
-                if first == second:
-                    at = at[at > p]
+                # Two classes of the minority meet twice: the one that is first in order asks.
+                at = twos[(label[twos] != label[p]) & (~minor[twos] | (order[twos] > order[p])) & (100 * np.minimum(n[p], n[twos]) >= how.percent * np.maximum(n[p], n[twos]))]
                 if len(at):
                     at = at[(marks[at] == marks[p]).sum(1) >= how.agree]
                 if len(at) and band:
                     at = at[~(bands[at, :band] == bands[p, :band]).any(1)]
+                if len(at) and second > band + 1:
+                    at = at[~(bands[at, band + 1 : second] == bands[p, band + 1 : second]).any(1)]
                 found += [(key[p], key[q], *place) for q in at]
                 if len(found) > hi - lo:
                     found = [(None, None, *place)]
@@ -311,15 +328,14 @@ def _candidates(rows: pd.DataFrame, starts: np.ndarray, how: Banding) -> pd.Data
 
 
 def _dense(percent: int) -> Callable:
-    """Rows (key, label, block, members) of one block pair to links that join all components that its linked pairs do.
+    """Rows (key, label, asks, asked, members) of one block pair to links that join all components that its linked pairs do.
 
     Intersections of all pairs of sets are a product of 0/1 matrices over the shingles that occur twice, some columns at
     a time; the results are whole numbers.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        key, block = rows["key"].to_numpy(object), rows["block"].to_numpy()
+        key, asks, asked = rows["key"].to_numpy(object), rows["asks"].to_numpy(bool), rows["asked"].to_numpy(bool)
         sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
         n = np.array([len(x) for x in sets])
         _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -328,7 +344,7 @@ def _dense(percent: int) -> Callable:
         row, column = row[twice[column]], place[column[twice[column]]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        one, two = np.flatnonzero(asks), np.flatnonzero(asked)
         common = np.zeros((len(one), len(two)))
         for at in range(0, int(twice.sum()), 8192):
             lo, hi = np.searchsorted(column, [at, at + 8192])
@@ -356,6 +372,13 @@ def _dense(percent: int) -> Callable:
     return run
 
 
+def _mixed_buckets(member: DataFrame, place: list[str]) -> DataFrame:
+    """(place, major, n_major) of buckets with more than one label: the largest one and its classes."""
+    labels = member.groupBy(*place, "label").agg(F.count("*").alias("m"))
+    most = labels.groupBy(*place).agg(F.max(F.struct("m", "label")).alias("x"), F.count("*").alias("labels")).where("labels > 1")
+    return most.select(*place, F.col("x.label").alias("major"), F.col("x.m").alias("n_major"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept of every row, and text_mark, a 64-bit hash of its text; links are pairs at `percent` or more."""
     how = banding(percent)
@@ -367,36 +390,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = [F.first(c).alias(c) for c in ("n", "marks", "bands")]
     classes = cut(linkable.groupBy("key").agg(F.min(F.struct("id", "mark")).alias("one"), *firsts).select("key", "one.id", "one.mark", "n", "marks", "bands"))
 
-    banded = classes.select("key", F.posexplode("bands").alias("band", "value"))
+    banded = classes.select("key", "n", F.posexplode("bands").alias("band", "value"))
     order = F.xxhash64("key")
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), F.col("key").alias("centre"))).alias("_c"))
-    buckets = buckets.where("size > 1").select("band", "value", "size", "_c.centre")
-    crowded = cut(banded.join(buckets, ["band", "value"]))
-    pairs = crowded.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min(F.struct(order.alias("o"), F.col("key").alias("centre"))).alias("c"))
+    buckets = cut(buckets.where("size > 1").select("band", "value", "size", "shingles", "c.centre"))
+    total = buckets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = F.broadcast(buckets.where(F.col("size") > max(HOT, total // BROADCAST_ROWS)))
+    cold = buckets.where(F.col("size") <= max(HOT, total // BROADCAST_ROWS))
+    place = ["band", "value"]
+    crowded = cut(banded.join(hot, place).unionByName(banded.join(hot.select(*place), place, "left_anti").join(cold, place)))
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = cut(near.select("a", "b", "ma", "mb").mapInArrow(_agreeing(how), "a binary, b binary"))
+    ends = F.explode(F.array("a", "b")).alias("key")
 
     def sets(keys: DataFrame) -> DataFrame:
         one = classes.join(keys.distinct(), "key", "left_semi").select("key", "id", "mark")
         return plain.join(one, ["id", "mark"]).select("text", "key").mapInArrow(_sets, "key binary, members binary").dropDuplicates(["key"])
 
-    ends = F.explode(F.array("a", "b")).alias("key")
-    found = cut(verify(likely, sets(likely.select(ends)), percent))
-    state = components(found)
-
-    # Buckets that hold more than one component.
-    member = crowded.join(state, "key", "left").select("band", "value", "key", "size", F.coalesce("label", "key").alias("label"))
-    mixed = member.groupBy("band", "value").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("band", "value")
-    rest = member.join(mixed, ["band", "value"]).withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rest = cut(rest.select("band", "value", "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of pairs (key, centre) those whose sketches, then whose sets are alike."""
+        pairs = pairs.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+        near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        likely = cut(near.select("a", "b", "ma", "mb").mapInArrow(_agreeing(how), "a binary, b binary"))
+        return cut(verify(likely, sets(likely.select(ends)), percent))
+
+    state = components(linked(crowded.select("key", "centre")))
+    member, member_of = None, crowded
+    for turn in range(CENTRES):
+        # Buckets that hold more than one component: a class of the minority, another one each turn, is the next centre.
+        member_of = member_of.select(*place, "key", "n", "size", "shingles").join(state, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = cut(_mixed_buckets(member_of, place))
+        member_of = cut(joined(member_of, mixed, place, order))
+        drop(mixed, member)
+        member = member_of
+        if turn == CENTRES - 1:
+            break
+        seeded = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("centre"), F.col("label").alias("own"))
+        centres = cut(member.where("label <> major").groupBy(*place).agg(F.min(seeded).alias("c")).select(*place, "c.centre", "c.own"))
+        late = linked(joined(member, centres, place, order).where("label <> own").select("key", "centre"))
+        if not late.limit(1).count():
+            break
+        state = components(late, state)
+    unsplit = member.where(F.col("size") <= HOT).select("*", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("value2"))
+    split = member.where(F.col("size") > HOT).select(*place, "key", "n", "label").join(classes.select("key", "bands"), "key")
+    split = split.select(*place, "key", "n", "label", F.posexplode("bands").alias("band2", "value2")).where("band2 > band")
+    halves = cut(_mixed_buckets(split, _BUCKET).join(split.groupBy(*_BUCKET).agg(F.count("*").alias("size"), F.sum("n").alias("shingles")), _BUCKET))
+    split = joined(split, halves, _BUCKET, order)
+    rest = unsplit.unionByName(split.select(*unsplit.columns)).withColumn("minor", F.col("label") != F.col("major"))
+    # The minority is dealt over blocks i, all classes over blocks j; each goes to all blocks of the other side.
+    blocks = lambda many: F.ceil(F.greatest(many / BLOCK, F.col("shingles") / BLOCK_SHINGLES * many / F.col("size"))).cast("int")
+    rest = rest.withColumn("n_i", blocks(F.col("size") - F.col("n_major"))).withColumn("n_j", blocks(F.col("size")))
+    own, every = (lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")), (lambda n: F.sequence(F.lit(0), F.col(n) - 1))
+    one_block = F.expr("n_i = 1 and n_j = 1")
+    asking = rest.where(F.col("minor") & ~one_block).select(*_BUCKET, "key", "label", "minor", F.lit(True).alias("asks"), F.lit(False).alias("asked"), own("n_i", 1).alias("i"), F.explode(every("n_j")).alias("j"))
+    asked = rest.select(*_BUCKET, "key", "label", "minor", (F.col("minor") & one_block).alias("asks"), F.lit(True).alias("asked"), F.explode(every("n_i")).alias("i"), own("n_j", 2).alias("j"))
+    rest = cut(asking.unionByName(asked))
     # Most block pairs are a few rows: they are read from sorted partitions, as a call for each would cost more than its work.
-    across = rest.join(classes.select("key", "n", "marks", "bands"), "key").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    across = cut(across.mapInPandas(_across(how), "a binary, b binary, band int, value long, i int, j int"))
-    few = across.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti")
-    few = cut(few)
+    across = rest.join(classes.select("key", "n", "marks", "bands"), "key").withColumn("order", order).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    across = cut(across.mapInPandas(_across(how), f"a binary, b binary, {_PAIR_TYPES}"))
+    few = cut(across.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     dense = rest.join(across.where("a is null").select(*_PAIR), _PAIR, "left_semi")
     dense = dense.join(sets(dense.select("key")), "key").groupBy(*_PAIR).applyInPandas(_dense(percent), "a binary, b binary")
     late = cut(verify(few, sets(few.select(ends)), percent).unionByName(dense))
@@ -412,10 +463,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component; all columns stay, and so do all rows without a word or without an id."""
+    """docs with one row of each component; all columns stay, and so do all rows without a word or without an id.
+
+    Rows are chosen by id and a hash of the text; texts are moved once, to meet what was chosen. Of rows equal in both, one is
+    taken: only these, if there are any, are moved again.
+    """
     judged = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
-    chosen = judged.groupBy(F.col(id_col).alias("_id")).agg(F.min("text_mark").alias("_mark"))
-    linkable = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)) & F.col(id_col).isNotNull()
-    rows = docs.where(linkable).withColumn("_id", F.col(id_col)).withColumn("_mark", F.xxhash64(text_col))
-    one = rows.join(chosen, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).drop("_id", "_mark")
-    return one.unionByName(docs.where(~linkable))
+    chosen = judged.groupBy(F.col(id_col).alias("id")).agg(F.min("text_mark").alias("mark"), F.count("*").alias("rows"))
+    chosen = cut(chosen.select("id", "mark", (F.col("rows") > 1).alias("more")))
+    own = Renamed(docs, id=F.col(id_col), mark=F.xxhash64(text_col), linkable=F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)) & F.col(id_col).isNotNull())
+    rows = own.rows.where("linkable").join(chosen, ["id", "mark"])
+    out = rows.where("not more")
+    if chosen.where("more").limit(1).count():
+        out = out.unionByName(rows.where("more").dropDuplicates(["id", "mark"]))
+    return own.back(out).unionByName(own.back(own.rows.where("not linkable")))
