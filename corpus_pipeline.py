@@ -19,8 +19,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality isn't too low, by source and by language within it."""
-    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
-    return judged.where("_kept").select(*docs.columns)
+    return quality_classifier.keep(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
-    return mixing.repeat(docs).select(*docs.columns)
+    return mixing.repeat(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
