@@ -1,20 +1,25 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Every vector belongs to the cell of its nearest pivot; the queries of a cell form a group. From two summaries - a cell's
-radius and the longest vector of a group - the join derives what a cell's vectors can score at most with a group's queries:
-p_g.p_j + R_g |p_j| + Q_g r_j (pivots p, radii R and r, longest query Q). A first pass solves each group within its own
-cell; its k-th best scores are exact lower bounds. The second pass sends a group's queries only to the other cells whose
-bound reaches the lowest of them, and each query keeps only scores that reach its own. A last top-k merges both passes.
-
-Pivots come from a bounded sample of the data (`n_pivots` rows, chosen by hash) and are the only thing broadcast, besides
-n_pivots summaries. A cell's data is dealt over blocks of about `block` rows, the queries sent to it over slices of the same size,
-by counts; a task gets one block and one slice, so a hot cell or hot vector is many tasks. Each block is replicated over
-the slices of its cell, each slice over the blocks. All scores are integers; bounds
-are in doubles with a margin, and only ever widen what is compared.
+Every vector belongs to the cell of its nearest pivot; the queries of a cell form a group. Two kinds of summaries tell what
+a cell's vectors can score at most with a query q: its radius r about the pivot p, by q.p + |q| r; and the interval [lo, hi]
+of its vectors along the pivot's direction u with the longest part w across it, by max(q.u lo, q.u hi) + |q across u| w. The
+lesser of the two holds. For a group, the first is taken with the group's own radius. A first pass solves each group within
+its own cell; its k-th best scores are exact lower bounds. The second pass sends a group's queries only to the other cells
+whose bound reaches the lowest of them, a query only where its own bound does, and each query keeps only scores that reach
+its own. A last top-k merges both passes. The result's attribute `sent` tells how many pairs of a query and another cell
+there are, and how many were sent: where vectors spread evenly over many dimensions, no such bound can leave any out.
+
+Pivots come from a bounded sample of the data (`n_pivots` rows, chosen by hash; by default one for `block` rows, from 16 to
+1024) and are the only thing broadcast, besides n_pivots summaries. A cell's data is dealt over blocks of about `block` rows,
+the queries sent to it over slices of the same size, by counts; a task gets one block and one slice, so a hot cell or hot
+vector is many tasks. Each block is replicated over the slices of its cell, each slice over the blocks. All scores are
+integers; bounds are in doubles with a margin, and only ever widen what is compared.
 
 Defined results: vectors null, or holding null or non-finite components, take no part; shorter vectors count as
-padded with zeros, an empty one as all zeros; null ids take no part as queries and none as candidates; rows with equal ids
-are all candidates, but never of a query with that id; fewer than k candidates give fewer rows; an empty table none.
+padded with zeros, an empty one as all zeros; components beyond the 64-bit range stand at its ends, products are exact
+whatever their size, and a score beyond the 64-bit range stands at its end; null ids take no part as queries and none as
+candidates; rows with equal ids are all candidates, but never of a query with that id; fewer than k candidates give fewer
+rows; an empty table none. Only the two columns named are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pagemill.llm.common import cut
 SCALE = 64
 #: Below this, sums of products are exact in doubles.
 EXACT = float(1 << 52)
+#: No score is less, so no bound need be.
+LEAST_SCORE = -float(1 << 63)
 
 
 def usable(vector: Column) -> Column:
@@ -52,11 +59,16 @@ def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Inner products: by doubles where those are exact, else by 64-bit integers."""
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
+    """Inner products: by doubles where those are exact, by 64-bit integers where these are, else by integers of any size,
+    brought into 64 bits at the end."""
+    largest = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(data.astype(np.float64)).max(initial=0)) * queries.shape[1]
     if largest < EXACT:
         return (queries.astype(np.float64) @ data.T.astype(np.float64)).astype(np.int64)
-    return queries @ data.T
+    if largest < float(1 << 62):
+        return queries @ data.T
+    whole = queries.astype(object) @ data.T.astype(object)
+    ends = np.iinfo(np.int64)
+    return np.clip(whole, int(ends.min) + 1, int(ends.max)).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -97,7 +109,7 @@ def _solve(k: int, dim: int, slice_rows: int):
 
 
 def top_k(
-    vectors: DataFrame, queries: Column, k: int = 20, n_pivots: int = 16, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, queries: Column, k: int = 20, n_pivots: int | None = None, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each row for which `queries` holds."""
     spark = vectors.sparkSession
@@ -108,9 +120,11 @@ def top_k(
     schema = "query_id long, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = max(dim, 1)
+    dim, n_pivots = max(dim, 1), n_pivots or min(1024, max(16, n // block))
     sample = plain.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     pivots = np.unique(_matrix(sample["v"], dim), axis=0).astype(np.float64)
+    norms = np.sqrt((pivots**2).sum(1))
+    along = pivots / np.where(norms > 0, norms, 1)[:, None]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -120,12 +134,15 @@ def top_k(
             far = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)
             cell = far.argmin(1)
             radius = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-            yield rows.assign(cell=cell.astype(np.int32), radius=radius, length=np.sqrt((x**2).sum(1)))
+            height = (x * along[cell]).sum(1)
+            across = np.sqrt(np.maximum(0, (x**2).sum(1) - height**2))
+            yield rows.assign(cell=cell.astype(np.int32), radius=radius, length=np.sqrt((x**2).sum(1)), height=height, across=across)
 
     # The lot deals queries over slices, those with equal ids or vectors too; it is fixed as the table is written.
-    placed = plain.mapInPandas(assign, "id long, v array<long>, asks boolean, cell int, radius double, length double")
+    placed = plain.mapInPandas(assign, "id long, v array<long>, asks boolean, cell int, radius double, length double, height double, across double")
     placed = cut(placed.withColumn("lot", F.xxhash64(F.monotonically_increasing_id())))
-    about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("r"), F.max(F.when(F.col("asks"), F.col("radius"))).alias("R"), F.max(F.when(F.col("asks"), F.col("length"))).alias("Q"))
+    extent = [F.min("height").alias("lo"), F.max("height").alias("hi"), F.max("across").alias("w"), F.count_if("asks").alias("queries")]
+    about = placed.groupBy("cell").agg(F.count("*").alias("n"), *extent, F.max("radius").alias("r"), F.max(F.when(F.col("asks"), F.col("radius"))).alias("R"), F.max(F.when(F.col("asks"), F.col("length"))).alias("Q"))
     about = {r.cell: r for r in about.collect()}  # one row a pivot at most
     blocks = {c: max(1, -(-r.n // block)) for c, r in about.items()}
     dealt = F.create_map(*[F.lit(x) for c, b in blocks.items() for x in (c, b)])
@@ -155,19 +172,25 @@ def top_k(
     asked = cut(asked.join(floors.groupBy("id").agg(F.max("floor").alias("floor")), "id", "left").withColumn("floor", F.coalesce("floor", least)))
     lows = {r.group: r.low for r in asked.groupBy("group").agg(F.min("floor").alias("low")).collect()}
 
-    pairs = []
-    norms = np.sqrt((pivots**2).sum(1))
+    pairs, total, sent_pairs = [], sum(r.queries for r in about.values()), 0
     for g, low in lows.items():
         for j, r in about.items():
             most = pivots[g] @ pivots[j] + about[g].R * norms[j] + about[g].Q * r.r
-            if j != g and most * (1 + 1e-9) + 1 >= low:
-                pairs.append((int(g), int(j), float(r.r), float(norms[j]), [float(x) for x in pivots[j]]))
+            if j != g and max(most * (1 + 1e-9) + 1, LEAST_SCORE) >= low:
+                pairs.append((int(g), int(j), float(r.r), float(norms[j]), float(r.lo), float(r.hi), float(r.w), [float(x) for x in pivots[j]]))
     if pairs:
-        routes = F.broadcast(spark.createDataFrame(pairs, "group int, cell int, r double, norm double, pivot array<double>"))
-        # The same bound for one query instead of its group: q.p_j + |q| r_j.
+        routes = F.broadcast(spark.createDataFrame(pairs, "group int, cell int, r double, norm double, lo double, hi double, w double, pivot array<double>"))
+        # The bounds for one query instead of its group; the margins are for the rounding of doubles.
         dot = F.aggregate(F.zip_with("v", "pivot", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-        sent = asked.join(routes, "group").where((dot + length * F.col("r")) * (1 + 1e-9) + 1 >= F.col("floor"))
-        second = joined(sent.select("cell", "id", "v", "lot", "floor"))
-        first = first.select("query_id", "vec_id", "score").unionByName(second)
-    return merged(first).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+        near = asked.join(routes, "group").withColumn("dot", dot).withColumn("square", square)
+        up = F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(F.lit(0.0))
+        by_radius = F.col("dot") + F.sqrt("square") * F.col("r")
+        by_extent = F.greatest(up * F.col("lo"), up * F.col("hi")) + F.sqrt(F.greatest(F.lit(0.0), F.col("square") - up * up)) * F.col("w")
+        margin = 1 + F.sqrt("square") * (F.col("r") + F.col("norm")) * 1e-9
+        sent = cut(near.where(F.greatest(F.least(by_radius, by_extent) + margin, F.lit(LEAST_SCORE)) >= F.col("floor")).select("cell", "id", "v", "lot", "floor"))
+        sent_pairs = sent.count()
+        first = first.select("query_id", "vec_id", "score").unionByName(joined(sent))
+    out = merged(first).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out.sent = (total * (len(about) - 1), sent_pairs)
+    return out

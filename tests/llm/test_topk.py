@@ -39,6 +39,29 @@ def test_large_numbers_and_empty(spark):
     assert topk.top_k(vectors.where("false"), F.lit(True)).collect() == []
 
 
+def test_products_beyond_64_bits(spark):
+    rows = [(0, [3e9] * 64), (1, [3e9] * 64), (2, [-3e9] * 64), (3, [1e30] * 64), (4, [1.0] * 64), (20, [2e16] + [0.0] * 63)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("cell"), F.lit(2).alias("id"), F.lit(3).alias("v"))
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0, n_pivots=3).collect()}
+    most = (1 << 63) - 1
+    into = lambda x: max(-most, min(most, x))
+    v = {i: [into(int(64 * x)) for x in row] for i, row in rows}
+    assert got == {(q, i): into(sum(a * b for a, b in zip(v[q], v[i]))) for q in (0, 20) for i in v if i != q}
+    assert got[0, 1] == most and got[0, 2] == -most and got[0, 4] == 3 * 10**9 * 64 * 64 * 64
+
+
+def test_bounds_leave_cells_out(spark):
+    """Where the data has clusters, queries go to few cells; the result stays that of brute force."""
+    rnd = random.Random(12)
+    middles = [[rnd.gauss(0, 4) for _ in range(16)] for _ in range(30)]
+    rows = [(i, [m + rnd.gauss(0, 0.15) for m in rnd.choice(middles)]) for i in range(1500)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, n_pivots=64, block=256)
+    assert {tuple(r) for r in out.collect()} == brute(rows, 5)
+    total, sent = out.sent
+    print(f"sent {sent} of {total} pairs of a query and another cell")
+    assert sent < 0.2 * total
+
+
 def test_a_task_holds_one_slice(spark, monkeypatch):
     solve = topk._solve
 
