@@ -27,7 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-#: Records of a file, by ranges of ids; ids are unique.
+#: Ids of a file's records.
 PAGES_A_FILE = 2048
 
 
@@ -35,16 +35,17 @@ def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, and what an audit finds of a replica in which some were altered or lost."""
     pages = table(spark, sf_dir, "pages")
     file = F.floor(F.col("page_id") / PAGES_A_FILE).alias("file")
-    records = pages.select("page_id", file, warc.record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
-    primary = cut(warc.index(records, "file", "page_id", "record"))
-    # The replica has the same places; its bytes are hashed anew.
-    altered = F.when(F.col("page_id") % 97 == 5, F.overlay("record", F.lit("X").cast("binary"), F.lit(1))).otherwise(F.col("record"))
-    held = records.where("page_id % 211 <> 7").select(F.col("page_id").alias("key"), F.sha2(altered, 256).alias("digest"))
-    replica = primary.select("file", "key", "offset", "length").join(held, "key")
-    found = warc.audit(primary, cut(replica.select("file", "key", "offset", "length", "digest")))
-    status = F.coalesce("status", F.lit("intact")).alias("status")
-    out = primary.join(found.select("file", "offset", "status"), ["file", "offset"], "left")
-    return out.select(F.col("key").alias("page_id"), "file", "offset", "length", "digest", status)
+    record = warc.record(F.col("url"), F.col("html"), F.col("page_id"))
+    # The replica has the same places, but for some records that are lost; its bytes are hashed anew.
+    altered = F.when(F.col("page_id") % 97 == 5, F.overlay(record, F.lit("X").cast("binary"), F.lit(1))).otherwise(record)
+    lost = F.coalesce(F.col("page_id") % 211 == 7, F.lit(False))
+    records = pages.select("page_id", file, record.alias("record"), F.sha2(altered, 256).alias("held"), lost.alias("lost"))
+    primary = cut(warc.index(records, "file", "page_id", "record", carry=("held", "lost")))
+    replica = primary.where("not lost").select("file", "key", "offset", "length", F.col("held").alias("digest"))
+    found = warc.audit(primary.drop("held", "lost"), replica).select(F.col("file").alias("_file"), F.col("offset").alias("_offset"), "status")
+    same = F.col("file").eqNullSafe(F.col("_file")) & (F.col("offset") == F.col("_offset"))
+    out = primary.join(found, same, "left")
+    return out.select(F.col("key").alias("page_id"), "file", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +112,13 @@ ORACLES: dict[str, str] = {
     "op2_warc_audit": """
         WITH records AS (
             SELECT page_id, page_id // 2048 AS file,
-                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:pagemill:' || page_id || '>'
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:pagemill:' || coalesce(page_id::VARCHAR, '') || '>'
                 || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
                 || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
                 || chr(13) || chr(10) || chr(13) || chr(10) AS record
             FROM pages
         )
-        SELECT page_id, file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
+        SELECT page_id, file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
             CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
             CASE WHEN page_id % 211 = 7 THEN 'missing' WHEN page_id % 97 = 5 THEN 'corrupt' ELSE 'intact' END AS status
         FROM records

@@ -7,9 +7,11 @@ differ, level by level, and in the end the records of differing leaves: a lost,
 A leaf holds the records that start in a range of RANGE bytes, a node FANOUT children, so every group is bounded; what
 moves are digests of 32 bytes, never record bodies.
 
-Defined results: null bodies and addresses count as empty; records of a null file are a file of their own; repeated records
-at one place must be repeated in the replica too; an empty table has no roots, and all of the other replica is missing
-or extra; read_records() gives a truncated last record as it is, with `complete` false.
+Defined results: null bodies and addresses count as empty; records of a null file are a file of their own, and so are
+compared; null and repeated keys are records like any other, each at its own offset; repeated records at one place must be
+repeated in the replica too; a very long record is hashed whole; an empty table has no roots, and all of the other replica is
+missing or extra; only the columns named are read, whatever others there are; read_records() gives a truncated last record as
+it is, with `complete` false.
 """
 
 from __future__ import annotations
@@ -38,14 +40,25 @@ def record(url: Column, body: Column, record_id: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def index(records: DataFrame, file_col: str, order_col: str, record_col: str) -> DataFrame:
-    """(file, key, offset, length, digest): where each record stands if a file's records follow in the order given."""
+def index(records: DataFrame, file_col: str, order_col: str, record_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(file, key, offset, length, digest, and the columns to carry): where each record stands if a file's records follow in
+    the order given, equal keys by digest.
+
+    Records are hashed once and sorted by ranges of the order; a file's sums of lengths go in two levels, over its ranges and
+    within each, so that a file of very many records is many tasks.
+    """
     narrow = records.select(
         F.col(file_col).alias("file"), F.col(order_col).alias("key"),
-        F.octet_length(record_col).cast("long").alias("length"), F.sha2(F.col(record_col), 256).alias("digest"),
+        F.octet_length(record_col).cast("long").alias("length"), F.sha2(F.col(record_col), 256).alias("digest"), *[F.col(c) for c in carry],
     )
-    before = Window.partitionBy("file").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return narrow.select("file", "key", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest")
+    ranged = cut(cut(narrow).repartitionByRange("file", "key", "digest").withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("file", "_range").agg(F.sum("length").alias("_sum"))
+    first = F.coalesce(F.sum("_sum").over(Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(sums.select(F.col("file").alias("_file"), F.col("_range").alias("_at"), first.alias("_start")))
+    before = Window.partitionBy("file", "_range").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_before", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    placed = placed.join(starts, F.col("file").eqNullSafe(F.col("_file")) & (F.col("_range") == F.col("_at")))
+    return placed.select("file", "key", (F.col("_start") + F.col("_before")).alias("offset"), "length", "digest", *carry)
 
 
 def tree(found: DataFrame) -> list[DataFrame]:
@@ -116,7 +129,8 @@ def parse(data: bytes) -> Iterator[tuple[int, int, str, bytes, bool]]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, url, body, complete) of WARC files, plain or gzip. A file is read in one task."""
+    """(file, offset, length, url, body, complete) of WARC files, plain or gzip. A file is read in one task, whole: this is
+    for files of some 100 MB at most (2 GB is the bound of Spark's binary files)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:

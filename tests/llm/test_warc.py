@@ -58,3 +58,33 @@ def test_read_back(spark, tmp_path):
     assert [r.complete for r in got if "cut" in r.file].count(False) == 1
     by_url = {r.url: bytes(r.body).decode() for r in got}
     assert by_url["http://h/9"] == "<p>é9</p>" * 9
+
+
+def test_query_on_null_and_repeated_ids(spark, tmp_path):
+    """Equal to the SQL form with null ids, repeated ids (equal and different records), nulls in all columns and a clashing column."""
+    from compare import compare, connect
+    from pagemill.llm import queries
+
+    made = [(i, f"http://h/{i}", "<p>x</p>" * (i % 50), "c") for i in range(400)]
+    made += [(5, "http://h/5", "<p>x</p>" * 5, "c"), (5, "http://other", "y", "c"), (9, None, None, None), (9, None, None, None), (218, "http://h/218", "z", None)]
+    made += [(None, "http://n", "n", None), (None, None, None, None), (None, None, None, None), (7, "http://h/7", "long " * 300_000, "c")]
+    spark.createDataFrame(made, "page_id long, url string, html string, digest string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings benchmark labels conversations").split():
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    db = connect(str(tmp_path))
+    assert compare(spark, db, "op2", queries.op2_warc_audit, queries.ORACLES["op2_warc_audit"], str(tmp_path)) is None
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert queries.op2_warc_audit(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_index_in_ranges(spark):
+    """Offsets of one file whose records are dealt over several ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, found = indexed(spark, [(i, "u", "b" * (i % 13), "a", "x") for i in range(500)])
+        at = 0
+        for r in found.orderBy("key").collect():
+            assert r.offset == at
+            at += r.length
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
