@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, dedup, language_id, lm_score, mixing, quality_classifier, quality_rules, sharding, topk, warc
 from pagemill.llm.common import crc_fold, cut
+from pagemill.llm.oracles import ORACLES
 from pagemill.session import table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def word_vocabulary() -> str:
     import public_tokenizers
@@ -108,31 +111,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {
-    "op2_warc_audit": """
-        WITH records AS (
-            SELECT page_id, page_id // 2048 AS file,
-                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:pagemill:' || coalesce(page_id::VARCHAR, '') || '>'
-                || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
-                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
-                || chr(13) || chr(10) || chr(13) || chr(10) AS record
-            FROM pages
-        )
-        SELECT page_id, file, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
-            CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
-            CASE WHEN page_id % 211 = 7 THEN 'missing' WHEN page_id % 97 = 5 THEN 'corrupt' ELSE 'intact' END AS status
-        FROM records
-    """,
-    "op10_topk": """
-        WITH whole AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), pairs AS (
-            SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
-            FROM whole q JOIN whole d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
-        ), ranked AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
-        )
-        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-    """,
-}

@@ -1,15 +1,18 @@
 """Proportional stratified interleaving: every shard has the mixture of all.
 
-Rows are put in a seeded random order within their source, which gives each a rank r of the source's n rows. Sorted by
-the fractional rank (2r - 1) / 2n, the sources mix evenly at every place of the order, so equal cuts of it are shards
-with the mixture of the whole. Both rankings are done in two levels - sums over buckets, then a window within each
-bucket - so that neither a hot source nor the whole order ever meets in one task: hash bits deal a source's rows evenly
-over its buckets, and fractional ranks deal all rows evenly over theirs.
+Rows are put in a seeded random order within their source, by 60 bits of md5 of seed and id, which gives each a rank r of the
+source's n rows. Sorted by the fractional rank (2r - 1) / 2n, the sources mix evenly at every place of the order, so equal
+cuts of it are shards with the mixture of the whole. Both rankings are done in two levels - sums over buckets, then a window
+within each bucket - so that neither a hot source nor the whole order ever meets in one task: hash bits deal a source's rows
+evenly over its buckets, and fractional ranks deal all rows evenly over theirs. There are so many buckets that a source of all
+rows has ROWS_A_BUCKET in one; only rows of one id can't be dealt, and meet in a bucket without their texts.
 
 The law that holds is `rows`: shards hold numbers of rows at most one apart.
 
 Defined results: a null text has no bytes and crc32 0; null is a source of its own; rows with equal ids are ordered by
-crc32 and size, and equal rows are interchangeable; an empty table gives an empty result; other columns play no part.
+crc32 and size, and equal rows are interchangeable; a null id is hashed as an empty one; a very long text only adds to its
+row's size; an empty table gives an empty result. Other columns, whatever their names, play no part in interleave();
+write_shards() writes them all, and one named `shard` gives way to the shard.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut
+from pagemill.llm.common import Renamed, cut, power_of_two
 
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 16
+#: Rows that a source of all rows has in a bucket; rows that a task writes.
+ROWS_A_BUCKET, ROWS_A_TASK = 200_000, 1_000_000
 
 
 def stratum(source: Column) -> Column:
@@ -29,20 +34,21 @@ def stratum(source: Column) -> Column:
 
 
 def interleave(
-    docs: DataFrame, n_shards: int = 40, seed: int = 20, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, n_shards: int = 40, seed: int = 20, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """id, source stratum, size, text_crc32, position in the interleaved order, shard and slot of every row."""
-    bits = max(1, (buckets - 1).bit_length())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1)
-    keyed = docs.select(
+    of_id = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    keyed = cut(docs.select(
         F.col(id_col).alias("_id"),
         stratum(F.col(source_col)).alias("stratum"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        shuffled.alias("_h"),
-        F.shiftright(shuffled, 63 - bits).cast("int").alias("_bucket"),
-    )
+        F.conv(F.substring(F.md5(of_id.cast("binary")), 1, 15), 16, 10).cast("long").alias("_h"),
+    ))
+    buckets = buckets or power_of_two(keyed.count(), ROWS_A_BUCKET, 1024)
+    bits = max(1, (buckets - 1).bit_length())
+    keyed = keyed.withColumn("_bucket", F.shiftright("_h", 60 - bits).cast("int"))
     in_order = Window.partitionBy("stratum").orderBy("_bucket")
     starts = (
         keyed.groupBy("stratum", "_bucket").count()
@@ -72,7 +78,13 @@ def interleave(
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes each row of docs in its shard's folder, in slot order. Ids must be unique."""
-    placed = placed.select(id_col, F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.join(placed, id_col)
-    rows.repartition("_shard").sortWithinPartitions("_shard", "_slot").withColumnRenamed("_shard", "shard").drop("_slot").write.partitionBy("shard").parquet(path)
+    """Writes each row of docs in its shard's folder. Ids must be unique.
+
+    Rows are dealt by ranges of shard and slot, so that a large shard is written by many tasks, a file each, in slot order;
+    names of files follow that order.
+    """
+    own = Renamed(docs, id=F.col(id_col))
+    rows = own.rows.join(placed.select(F.col(id_col).alias("id"), F.col("shard").alias("shard"), F.col("slot").alias("slot")), "id")
+    tasks = max(placed.agg(F.countDistinct("shard")).first()[0], -(-placed.count() // ROWS_A_TASK), 1)
+    ordered = rows.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot")
+    own.back(ordered, shard=F.col("shard")).write.partitionBy("shard").parquet(path)

@@ -1,7 +1,10 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
+
 from pagemill.llm import sharding
 
 
@@ -35,9 +38,32 @@ def test_shards(spark):
 
 
 def test_write(spark, tmp_path):
-    docs = spark.range(50).selectExpr("id doc_id", "'t' text", "cast(id % 3 as string) source")
-    sharding.write_shards(docs, sharding.interleave(docs, n_shards=4), str(tmp_path / "out"))
-    assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().collect()) == [12, 12, 13, 13]
+    docs = spark.range(50).selectExpr("id doc_id", "'t' text", "cast(id % 3 as string) source", "7 slot", "8 id", "9 _shard", "10 size")
+    placed = sharding.interleave(docs, n_shards=4)
+    sharding.write_shards(docs, placed, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [12, 12, 13, 13]
+    assert sorted(out.columns) == sorted([*docs.columns, "shard"]) and {r.slot for r in out.collect()} == {7}
+    for shard in range(4):
+        want = [r.doc_id for r in placed.where(f"shard = {shard}").orderBy("slot").collect()]
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        assert [i for f in files for i in pq.read_table(f, partitioning=None)["doc_id"].to_pylist()] == want
+
+
+def test_ranks_one_by_one(spark):
+    """Positions, worked out on one machine."""
+    rows, docs = make(spark)
+    h = lambda i: int(hashlib.md5(f"20:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    by = defaultdict(list)
+    for i, t, s, _ in rows:
+        data = (t or "").encode()
+        by["1" if s is None else "0" + s].append((h(i), zlib.crc32(data), len(data) + 16, i))
+    order = []
+    for s, x in by.items():
+        order += [((2 * r + 1) / (2 * len(x)), s, r, i) for r, (*_, i) in enumerate(sorted(x, key=lambda y: y[:3]))]
+    want = [i for *_, i in sorted(order, key=lambda x: x[:3])]
+    got = [r.doc_id for r in sharding.interleave(docs, n_shards=11).orderBy("position").collect()]
+    assert got == want
 
 
 def test_empty_and_few(spark):
