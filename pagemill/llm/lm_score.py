@@ -7,20 +7,25 @@ lattices, and a word's sum is needed once, wherever the word stands.
 
 Weights. The vocabulary file's scores are ranks, not probabilities; 1 / (10 + rank) is where expectation-maximisation
 starts, over all distinct training words (forward and backward recursions, expected counts summed over the cluster).
-Pieces that lead a word and pieces that go on, with the stop, are two distributions of sum 1. Beside the subword paths,
-a word seen c times in training has one arc that spans it whole: P(w) = (c - d) / N + d T / N * P_lattice(w), with T
-distinct tokens, N tokens and d from the counts of counts, n1 / (n1 + 2 n2). That is a proper distribution over texts.
+Pieces that lead a word and pieces that go on, with the stop, are two distributions of sum 1. A word seen c times in training
+is an arc of its lattice too, one that spans it whole: P(w) = (c - d) / N + d T / N * P_pieces(w), with T distinct tokens, N
+tokens and d from the counts of counts, n1 / (n1 + 2 n2). That is a proper distribution over texts. Of a known word most of
+the sum is on that arc; of an unknown one all is on the pieces. `score` is the sum over the whole lattice, `lattice_score`
+that over the pieces alone, in which every text is spelled.
 
-Word counts are a distributed table that grows with the corpus; nothing of it is sampled. Only words that are frequent
-enough to be among `frequent` and short (64 bytes) are broadcast, with the weights of the vocabulary's pieces; all others
-are joined by word, pre-aggregated within each document.
+Word counts are a distributed table that grows with the corpus; nothing of it is sampled. Only the `frequent` words seen most
+often are broadcast, with the weights of the vocabulary's pieces; words of over 64 bytes stand there by their sha256, so that
+the broadcast is bounded in bytes. All others are joined by word, pre-aggregated within each document.
 
 Defined results: a null or blank text is its end alone; repeated rows get equal scores; without training rows the base is
-log10(1) a token and the lattice stands alone; an empty table gives an empty result.
+log10(1) a token and the lattice stands alone; a very long text is split into words in its task (a batch of texts is bounded
+by Spark's spark.sql.execution.arrow.maxBytesPerBatch), and rows of its words go on 200,000 at a time; an empty table gives
+an empty result. Only the columns named are read, whatever others there are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -33,8 +38,8 @@ from pyspark.sql import types as T
 
 from pagemill.llm.common import cut
 
-#: Bounds of a task's memory: distinct words counted before they are sent on; bytes of a broadcast word.
-HELD_WORDS, SHORT = 400_000, 64
+#: Bounds of a task's memory: distinct words counted before they are sent on, and their bytes; bytes of a broadcast word.
+HELD_WORDS, HELD_BYTES, SHORT = 400_000, 64 << 20, 64
 #: Added to every expected count.
 PRIOR = 0.01
 
@@ -139,6 +144,11 @@ def _by_length(words: list[bytes], cells: int = 400_000) -> Iterator[np.ndarray]
                 yield same[at : at + step]
 
 
+def held_key(word: bytes) -> bytes:
+    """By what a word is found among the broadcast ones."""
+    return word if len(word) <= SHORT else hashlib.sha256(word).digest()
+
+
 def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
@@ -146,6 +156,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, training) to (word, training count): 0 for words of other rows."""
     held: Counter = Counter()
+    size = 0
 
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
@@ -160,8 +171,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 for w in words:
                     held.setdefault(w, 0)
-            if len(held) >= HELD_WORDS:
+            size += len(text.as_py() or b"")
+            if len(held) >= HELD_WORDS or size >= HELD_BYTES and len(held) * 16 >= HELD_WORDS:
                 yield out()
+                size = 0
     yield out()
 
 
@@ -218,12 +231,29 @@ def fit(words: DataFrame, path: str, rounds: int = 2) -> tuple[list[bytes], np.n
     return pieces, weights, stop
 
 
+class _Rows:
+    """Columns of rows that are sent on: the place of the row in its batch, then `parts` of score()."""
+
+    def __init__(self):
+        self.at, self.columns = [], [[] for _ in range(7)]
+
+    def add(self, at: int, *values) -> None:
+        self.at.append(at)
+        for column, value in zip(self.columns, values, strict=True):
+            column.append(value)
+
+    def batch(self, of: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+        at = pa.array(self.at, pa.int64())
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([*[of.column(k).take(at) for k in range(3)], *[pa.array(x, kind) for x, kind in zip(self.columns, kinds, strict=True)]], names)
+
+
 def score(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 100_000, rounds: int = 2) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of every row."""
     spark = docs.sparkSession
     train = F.coalesce(train, F.lit(False))
     counts = cut(word_counts(docs, train, text_col))
-    of_counts = cut(counts.groupBy("c").agg(F.count("*").alias("n"), F.sum((F.octet_length("word") <= SHORT).cast("long")).alias("short")))
+    of_counts = cut(counts.groupBy("c").agg(F.count("*").alias("n")))
     sums = of_counts.where("c > 0").agg(F.coalesce(F.sum(F.col("c") * F.col("n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     by_count = {r.c: r.n for r in of_counts.where("c in (1, 2)").collect()}
     ends = docs.where(train).count()
@@ -244,66 +274,62 @@ def score(docs: DataFrame, train: Column, path: str, id_col: str = "doc_id", tex
                 out[at] = lattice.score([found[i] for i in at])
             with np.errstate(divide="ignore"):
                 whole = np.log(np.maximum(0, c - d) / max(total, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.logaddexp(whole, out + math.log(rest)) / math.log(10))], ["word", "c", "logp"])
+            both = np.logaddexp(whole, out + math.log(rest)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both), pa.array(out / math.log(10))], ["word", "c", "logp", "pieces"])
 
-    known = cut(counts.mapInArrow(named, "word binary, c long, logp double"))
+    known = cut(counts.mapInArrow(named, "word binary, c long, logp double, pieces double"))
 
     # The least count at which the words at or above it are few enough: found on the counts of counts.
     least, many = None, 0
     for r in of_counts.where("c > 0").orderBy(F.desc("c")).toLocalIterator():
-        many += r.short
+        many += r.n
         if many > frequent:
             break
         least = r.c
-    top = known.where((F.col("c") >= least) & (F.octet_length("word") <= SHORT)).toPandas() if least else None
-    top = dict(zip(top["word"], zip(top["c"], top["logp"], strict=True), strict=True)) if least else {}
-    common = {bytes(w): (math.log10(c + 1), logp) for w, (c, logp) in top.items()}
+    key = F.when(F.octet_length("word") <= SHORT, F.col("word")).otherwise(F.unhex(F.sha2("word", 256)))
+    top = known.where(F.col("c") >= least).select(key.alias("word"), "c", "logp", "pieces").toPandas() if least else None
+    top = zip(*(top[x] for x in ("word", "c", "logp", "pieces")), strict=True) if least else ()
+    common = {bytes(w): (math.log10(c + 1), logp, pieces) for w, c, logp, pieces in top}
     common = spark.sparkContext.broadcast(common)
     least_log = math.log10(total + types + 1)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), (~train).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     head = list(rows.schema)[:3]
-    parts = [("copies", T.LongType()), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("logp", T.DoubleType()), ("word", T.BinaryType())]
+    parts = [("copies", T.LongType()), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("logp", T.DoubleType()), ("pieces", T.DoubleType()), ("word", T.BinaryType())]
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with the sums of its frequent words, and one for each other word of it."""
         table = common.value
         for batch in batches:
-            at, copies, n, sure, base, logp, words = [], [], [], [], [], [], []
+            out = _Rows()
             for i, text in enumerate(batch.column(3)):
                 found = tokens(text.as_py())
-                hits = [x for x in map(table.get, found) if x]
-                at.append(i), copies.append(1), n.append(len(found)), sure.append(len(hits)), words.append(None)
-                base.append(math.fsum(x[0] for x in hits)), logp.append(math.fsum(x[1] for x in hits))
+                hits = [x for x in map(table.get, map(held_key, found)) if x]
+                out.add(i, 1, len(found), len(hits), *(math.fsum(x[k] for x in hits) for k in range(3)), None)
                 if len(hits) < len(found):
-                    for w, times in Counter(w for w in found if w not in table).items():
-                        at.append(i), copies.append(0), n.append(times), sure.append(0), base.append(0.0), logp.append(0.0), words.append(w)
-                if len(at) > 200_000:
-                    yield flushed(batch, at, copies, n, sure, base, logp, words)
-                    at, copies, n, sure, base, logp, words = [], [], [], [], [], [], []
-            yield flushed(batch, at, copies, n, sure, base, logp, words)
+                    for w, times in Counter(w for w in found if held_key(w) not in table).items():
+                        out.add(i, 0, times, 0, 0.0, 0.0, 0.0, w)
+                        if len(out.at) > 200_000:
+                            yield out.batch(batch, names)
+                            out = _Rows()
+            yield out.batch(batch, names)
 
     names = [f.name for f in head] + [x for x, _ in parts]
-
-    def flushed(batch: pa.RecordBatch, at: list, copies: list, n: list, sure: list, base: list, logp: list, words: list) -> pa.RecordBatch:
-        at = pa.array(at, pa.int64())
-        longs = [pa.array(x, pa.int64()) for x in (copies, n, sure)]
-        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], *longs, pa.array(base), pa.array(logp), pa.array(words, pa.binary())], names)
-
     split = cut(rows.mapInArrow(looked_up, T.StructType([*head, *(T.StructField(x, t) for x, t in parts)])))
     keys = ["id", "mark", "held_out"]
-    seen = known.select("word", "c", F.col("logp").alias("_logp"))
+    seen = known.select("word", "c", F.col("logp").alias("_logp"), F.col("pieces").alias("_pieces"))
     others = split.where("word is not null").join(seen, "word").select(
         *keys, F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * F.log10(F.col("c") + 1.0)).alias("base"), (F.col("n") * F.col("_logp")).alias("logp"),
+        (F.col("n") * F.log10(F.col("c") + 1.0)).alias("base"), (F.col("n") * F.col("_logp")).alias("logp"), (F.col("n") * F.col("_pieces")).alias("pieces"),
     )
     # Of equal rows, the words were taken once a row; so were their tokens.
     whole = split.where("word is null").drop("word").unionByName(others)
-    add = [F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "logp")]
+    add = [F.sum(c).alias(c) for c in ("copies", "n", "known", "base", "logp", "pieces")]
     each = whole.groupBy(*keys).agg(*add).withColumn("_one", F.explode(F.expr("sequence(1L, copies)")))
     n_tokens = F.expr("n div copies") + 1
     base = F.col("base") / F.col("copies") + math.log10(ends + 1) - n_tokens * least_log
     return each.select(
         F.col("id").alias(id_col), "held_out", n_tokens.alias("n_tokens"), (F.expr("known div copies") + int(ends > 0)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("logp") / F.col("copies") + math.log10(end)).alias("score"),
+        (F.col("pieces") / F.col("copies") + math.log10(end)).alias("lattice_score"),
     )
