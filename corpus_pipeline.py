@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, dedup, mixing, quality_classifier, quality_rules
-from pagemill.llm.common import cut, drop
+from pagemill.llm.common import cut, drop, scratch
 from pagemill.llm.queries import word_vocabulary
 from pagemill.session import table
 
@@ -43,10 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, last = table(spark, sf_dir, "documents"), None
+    """The stages one after the other. What a stage wrote for itself goes when it is done, and so does what it read."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        out = cut(stage(spark, docs, sf_dir))
-        if last is not None:
-            drop(last)
-        docs = last = out
+        with scratch() as kept:
+            out = cut(stage(spark, docs, sf_dir))
+            kept.append(out)
+        drop(docs)
+        docs = out
     return docs
