@@ -7,8 +7,10 @@ places, its fragments are encoded independently (and remembered), and the ids ar
 Everything that isn't the merge itself - Unicode normalisation and word splitting - is asked of the vocabulary file's own
 normalizer and pre-tokenizer, blank-delimited chunk by chunk; neither looks across a blank.
 
-Defined results: a null text counts as empty and has no ids; an empty table gives an empty result; repeated rows give
-repeated results; extra columns are ignored by the query and carried by encode(); a text of any length is encoded whole.
+Defined results: a null text counts as empty and has no ids; null ids decode to an empty text; an empty table gives an empty
+result; repeated rows give repeated results; a text of any length is encoded whole (a batch of texts is bounded by Spark's
+spark.sql.execution.arrow.maxBytesPerBatch). encode() and decode() carry columns of any name; one that bears the name of the
+new column gives way. digests() reads the two columns named and returns its own.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ partitioning. The dictionaries (slots * excerpt characters of a language at most
 broadcast. A task holds the compressors of GROUP languages at a time and compares all of them.
 
 Defined results: a text that is null or has no letter is `und` with score 0; so is every text where nothing could be
-learned; ties go to the more frequent language; repeated rows get equal results; an empty table gives an empty one.
+learned; ties go to the more frequent language; repeated rows get equal results; a very long text is compressed whole, a
+block at a time (a batch of texts is bounded by Spark's spark.sql.execution.arrow.maxBytesPerBatch); an empty table gives an
+empty one. classify() carries columns of any name; one that bears a result's name gives way, unless a prefix keeps them apart.
 """
 
 from __future__ import annotations
@@ -73,8 +75,11 @@ def _sizes(text: bytes, packers: list) -> np.ndarray:
     return total
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", narrow: float = NARROW, prefix: str = "") -> DataFrame:
-    """docs with lang_pred (the smallest language, whatever its margin), score (0 to 1) and rejected (narrow margin)."""
+def classify(
+    docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", narrow: float = NARROW, prefix: str = "", reject: bool = True
+) -> DataFrame:
+    """docs with lang_pred (the smallest language; `und` where its margin is narrow, unless reject is false), score (0 to 1) and
+    rejected (narrow margin)."""
     names = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     added = [f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")]
@@ -103,7 +108,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                 evidence = (sizes - sizes[best]) / len(data)
                 score = 1 / np.exp(-60 * evidence).sum()
                 margin = np.partition(evidence, 1)[1] if len(evidence) > 1 else 1.0
-                langs.append(names[best]), scores.append(float(score)), rejected.append(bool(margin < narrow))
+                close = bool(margin < narrow)
+                langs.append(UNKNOWN if close and reject else names[best]), scores.append(float(score)), rejected.append(close)
             columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
 
