@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The reasoning tags that model answers may hold, as XML-like and as bracketed pairs.
-XML_TAGS = ("think", "thinking", "thought", "reasoning", "reflection", "analysis")
-BRACKET_TAGS = ("thinking", "reasoning")
+XML_TAGS = ("think", "antThinking", "reasoning", "thought", "thinking", "internal")
+BRACKET_TAGS = ("thinking", "thought")
+
+
+#: Platforms by what their user agents hold, in the order in which they are looked for.
+PLATFORMS = (("Windows", "windows"), ("Mac", "macintosh|mac os x"), ("Linux", "linux"), ("Android", "android"), ("iOS", "iphone|ipad"))
 
 
 def _col(x: Column | str) -> Column:
@@ -51,7 +55,8 @@ def chunk_type(text: Column | str) -> Column:
 
 
 def has_code(text: Column | str) -> Column:
-    return F.contains(_col(text), F.lit("```"))
+    """Fences or code within a line."""
+    return F.contains(_col(text), F.lit("`"))
 
 
 def has_lists(text: Column | str) -> Column:
@@ -59,7 +64,7 @@ def has_lists(text: Column | str) -> Column:
 
 
 def has_links(text: Column | str) -> Column:
-    return _col(text).rlike(r"\[[^\]]*\]\([^)]*\)")
+    return F.contains(_col(text), F.lit("[")) & F.contains(_col(text), F.lit("]("))
 
 
 def clean_markdown(text: Column | str) -> Column:
@@ -115,9 +120,11 @@ def or_default(value: Column | str, default: str) -> Column:
 
 
 def platform_of_agent(agent: Column | str) -> Column:
-    """The first platform whose name the user agent holds."""
-    a = F.lower(_col(agent))
-    return F.when(F.contains(a, F.lit("windows")), "Windows").when(F.contains(a, F.lit("mac os x")) | F.contains(a, F.lit("macintosh")), "Mac").when(F.contains(a, F.lit("linux")), "Linux").when(F.contains(a, F.lit("android")), "Android").when(F.contains(a, F.lit("iphone")) | F.contains(a, F.lit("ipad")), "iOS").otherwise("Unknown")
+    """The first platform whose name the user agent holds; Windows for all others."""
+    out = F.lit("Windows")
+    for name, marks in reversed(PLATFORMS):
+        out = F.when(F.lower(_col(agent)).rlike(marks), name).otherwise(out)
+    return out
 
 
 def pdf_date(raw: Column | str) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 
-FENCE = "```"
+FENCE, HEADER = "```", re.compile(r"(#{1,6}) ")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -15,85 +20,115 @@ def chunk_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def _fence(line: str) -> bool:
+    return line.strip().startswith(FENCE)
+
+
+def markdown_parts(text: str) -> Iterator[tuple[str, list[str], str | None, bool]]:
+    """(content, path of headers, code language, whether it is code) of each part of a Markdown text, in order.
+
+    One pass over the lines: a header or an opening fence ends what is held, a closing fence ends itself.
+    """
+    held: list[str] = []
+    path: list[tuple[int, str]] = []
+    language, in_code = None, False
+
+    def part(code: bool) -> Iterator[tuple[str, list[str], str | None, bool]]:
+        content = "\n".join(x.rstrip(" \t") for x in held).strip()
+        if content:
+            yield content, [h for _, h in path], language if code else None, code
+        held.clear()
+
+    for line in text.split("\n"):
+        if _fence(line):
+            if in_code:
+                held.append(line)
+                yield from part(True)
+            else:
+                yield from part(False)
+                held.append(line)
+                language = line.strip()[3:].strip() or None
+            in_code = not in_code
+        elif not in_code and (found := HEADER.match(line)):
+            yield from part(False)
+            level = len(found[1])
+            path = [x for x in path if x[0] < level] + [(level, line[level:].strip())]
+        else:
+            held.append(line)
+    yield from part(in_code)
+
+
+def sentence_parts(text: str, size: int, overlap: int, least: int) -> Iterator[tuple[str, int]]:
+    """(content, number of sentences) of each chunk of sentences, in order."""
+    sentences, short = [], ""
+    for x in filter(None, (x.strip(" ") for x in SENTENCE_END.split(text))):
+        short += x
+        if len(short) < least:
+            short += " "
+        else:
+            sentences.append(short)
+            short = ""
+    if short.strip(" "):
+        sentences.append(short.strip(" "))
+    held: list[tuple[str, int]] = []
+    words = 0
+    for x in sentences:
+        n = len(x.split())
+        if held and words + n > size:
+            yield " ".join(s for s, _ in held), len(held)
+            # The longest end of the chunk within the overlap, shorter than the chunk, leads the next one.
+            keep, kept = 0, 0
+            while keep + 1 < len(held) and kept + held[-keep - 1][1] <= overlap:
+                kept += held[-keep - 1][1]
+                keep += 1
+            held, words = held[len(held) - keep :], kept
+        held.append((x, n))
+        words += n
+    if held:
+        yield " ".join(s for s, _ in held), len(held)
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, schema: str, split) -> DataFrame:
+    """(id, position, and the columns of a schema) of the parts that `split` makes of each text: Arrow-batched, one pass."""
+
+    @F.pandas_udf(f"array<struct<{schema}>>")
+    def run(texts: pd.Series) -> pd.Series:
+        names = [x.split(":")[0] for x in re.split(r",(?=\w+:)", schema)]
+        return pd.Series([[dict(zip(names, x, strict=True)) for x in split(t)] if t else [] for t in texts], dtype=object)
+
+    return docs.select(F.col(id_col), F.posexplode(run(F.col(text_col))).alias("position", "_part")).select(id_col, "position", "_part.*")
+
+
 def markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "markdown", min_words: int = 64, max_words: int = 512, strict_size: bool = False) -> DataFrame:
     """Chunks by header lines and code fences, with the stack of headers that they stand under.
 
     A header or an opening fence starts a chunk, and so does the line after a closing fence; headers inside fences are
     text. Text before the first header is a chunk of its own. Chunks without content are dropped before they are numbered.
+    parent_id names the section above: a hash of the document and the path of its headers.
+    Rows are chunked one by one: rows of one id stay apart, and a null text has no chunks.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("o", "line"))
-    so_far = Window.partitionBy("id").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.trim("line").startswith(FENCE)
-    lines = lines.withColumn("fence", fence).withColumn("odd", F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1)
-    opens, closes = F.col("fence") & ~F.col("odd"), F.col("fence") & F.col("odd")
-    level = F.when(~F.col("fence") & ~F.col("odd") & F.col("line").rlike("^#{1,6} "), F.length(F.regexp_extract("line", "^(#+)", 1)))
-    after_close = F.coalesce(F.lag(closes).over(Window.partitionBy("id").orderBy("o")), F.lit(False))
-    lines = lines.withColumn("lv", level).withColumn("starts", (level.isNotNull() | opens | after_close).cast("int")).withColumn("code", F.col("fence") | F.col("odd"))
-    lines = lines.withColumn("g", F.sum("starts").over(so_far))
-    for k in range(1, 7):
-        found = F.when(F.col("lv") == k, F.struct("o", F.trim(F.regexp_replace("line", "^#+ ", "")).alias("text")))
-        lines = lines.withColumn(f"h{k}", F.last(found, ignorenulls=True).over(so_far))
-    live = []
-    for k in range(1, 7):
-        above = F.greatest(F.lit(-1), *[F.coalesce(F.col(f"h{i}.o"), F.lit(-1)) for i in range(1, k)]) if k > 1 else F.lit(-1)
-        live.append(F.when(F.col(f"h{k}.o") > above, F.col(f"h{k}.text")))
-    lines = lines.withColumn("path", F.array_compact(F.array(*live)))
-    body = F.array_sort(F.collect_list(F.when(F.col("lv").isNull(), F.struct("o", "line"))))
-    groups = lines.groupBy("id", "g").agg(
-        tx.trim_lines(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("content"),
-        F.max("path").alias("path"), F.min_by("line", "o").alias("first"), F.bool_or("code").alias("code"), F.min("o").alias("start"),
-    )
-    groups = groups.where("content <> ''").withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("g")) - 1)
+    found = _parts(docs, id_col, text_col, "content:string,path:array<string>,code_language:string,code:boolean", markdown_parts)
     words = tx.word_count("content")
     exempt = F.col("code") | (F.size("path") == 0)
     if not strict_size:
         exempt = exempt | (F.size("path") > 0)
-    return groups.select(
-        F.col("id").alias(id_col), "position", chunk_id(F.col("id"), F.col("position"), F.col("content")).alias("chunk_id"), "content",
-        F.when(F.col("code"), "code").otherwise(tx.chunk_type("content")).alias("type"),
-        F.when(F.col("code"), F.nullif(F.trim(F.substring(F.trim("first"), 4, 1000)), F.lit(""))).alias("code_language"),
-        F.try_element_at("path", F.lit(-1)).alias("heading"), F.size("path").alias("level"), "path", words.alias("word_count"),
+    of_code = F.col("code")
+    return found.select(
+        id_col, "position", chunk_id(F.col(id_col), F.col("position"), F.col("content")).alias("chunk_id"), "content",
+        F.when(of_code, "code").otherwise(tx.chunk_type("content")).alias("type"), "code_language",
+        F.try_element_at("path", F.lit(-1)).alias("heading"), F.size("path").alias("level"), "path",
+        F.when(F.size("path") > 1, chunk_id(F.col(id_col), F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), "\n"))).alias("parent_id"), words.alias("word_count"),
+        F.regexp_count("content", F.lit("\n")).cast("int").alias("_lines"),
         tx.preview("content").alias("content_preview"), tx.has_code("content").alias("has_code"), tx.has_lists("content").alias("has_lists"),
         tx.has_links("content").alias("has_links"), tx.read_time(words).alias("estimated_read_time"),
         (~exempt & (words < min_words)).alias("needs_merge"), (~exempt & (words > max_words)).alias("needs_split"),
-    )
+    ).withColumn("line_count", F.col("_lines") + 1).drop("_lines")
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 512, overlap: int = 50, least: int = 12) -> DataFrame:
     """Sentences filled greedily up to `size` words, each chunk led by the last ones of the chunk before, up to `overlap` words."""
-    pieces = F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    merged = F.aggregate(
-        pieces, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held")),
-        lambda a, x: F.when(F.length(F.concat(a["held"], x)) < least, F.struct(a["done"].alias("done"), F.concat(a["held"], x, F.lit(" ")).alias("held"))).otherwise(
-            F.struct(F.concat(a["done"], F.array(F.concat(a["held"], x))).alias("done"), F.lit("").alias("held"))
-        ),
-        lambda a: F.when(F.trim(a["held"]) == "", a["done"]).otherwise(F.concat(a["done"], F.array(F.trim(a["held"])))),
-    )
-    counted = F.transform(merged, lambda s: F.struct(s.alias("s"), tx.word_count(s).alias("w")))
-    weight = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    empty = F.array().cast("array<struct<s:string,w:bigint>>")
-
-    def tail(xs: Column) -> Column:
-        """The longest end of a chunk within the overlap, shorter than the chunk."""
-        back = F.aggregate(
-            F.reverse(xs), F.struct(empty.alias("t"), F.lit(True).alias("on")),
-            lambda a, x: F.when(a["on"] & (weight(a["t"]) + x["w"] <= overlap) & (F.size(a["t"]) + 1 < F.size(xs)), F.struct(F.concat(F.array(x), a["t"]).alias("t"), F.lit(True).alias("on"))).otherwise(
-                F.struct(a["t"].alias("t"), F.lit(False).alias("on"))
-            ),
-        )
-        return back["t"]
-
-    packed = F.aggregate(
-        counted, F.struct(F.array().cast("array<array<struct<s:string,w:bigint>>>").alias("done"), empty.alias("now")),
-        lambda a, x: F.when((F.size(a["now"]) == 0) | (weight(a["now"]) + x["w"] <= size), F.struct(a["done"].alias("done"), F.concat(a["now"], F.array(x)).alias("now"))).otherwise(
-            F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), F.concat(tail(a["now"]), F.array(x)).alias("now"))
-        ),
-        lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]),
-    )
-    out = docs.select(F.col(id_col).alias("id"), F.posexplode(packed).alias("position", "parts"))
-    content = F.array_join(F.transform("parts", lambda x: x["s"]), " ")
-    return out.select(F.col("id").alias(id_col), "position", content.alias("content"), F.lit("text").alias("type"), tx.word_count(content).alias("word_count"), F.size("parts").alias("sentence_count"))
+    found = _parts(docs, id_col, text_col, "content:string,sentence_count:int", lambda t: sentence_parts(t, size, overlap, least))
+    return found.select(id_col, "position", "content", F.lit("text").alias("type"), tx.word_count("content").alias("word_count"), "sentence_count")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4000, separator: str = "\n\n") -> DataFrame:
@@ -126,13 +161,19 @@ def stats(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return chunks.groupBy(id_col).agg(F.count("*").alias("total_chunks"), F.coalesce(F.avg("word_count"), F.lit(0.0)).alias("avg_chunk_size"))
 
 
-def records(chunks: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """Flat chunk records: number from 1 and total within the key, defaults for what a chunk lacks."""
+def records(chunks: DataFrame, key_col: str = "doc_id", url: Column | None = None, processed_at: Column | None = None) -> DataFrame:
+    """Flat chunk records of twelve fields: number from 1 and total within the key, defaults for what a chunk lacks.
+
+    A chunk without an id gets one of its key, position and content; the address is the key unless `url` is given.
+    """
     have = set(chunks.columns)
     by = Window.partitionBy(key_col)
     pick = lambda c, default: F.coalesce(F.col(c), default) if c in have else default
+    none = F.lit(None).cast("string")
     return chunks.select(
-        key_col, F.row_number().over(by.orderBy("position")).alias("chunk_number"), F.count("*").over(by).alias("total_chunks"),
-        F.col("content").alias("chunk_content"), pick("type", F.lit("text")).alias("chunk_type"), pick("word_count", tx.word_count("content")).alias("word_count"),
-        pick("code_language", F.lit(None).cast("string")).alias("code_language"), F.col("position"), pick("heading", F.lit(None).cast("string")).alias("heading"),
+        key_col, pick("chunk_id", chunk_id(F.col(key_col), F.col("position"), F.col("content"))).alias("chunk_id"), (F.col(key_col).cast("string") if url is None else url).alias("url"),
+        F.row_number().over(by.orderBy("position")).alias("chunk_number"), F.count("*").over(by).alias("total_chunks"), F.coalesce("content", F.lit("")).alias("chunk_content"),
+        pick("type", F.lit("text")).alias("chunk_type"), F.coalesce((none if processed_at is None else processed_at).cast("string"), F.lit("")).alias("timestamp"),
+        pick("word_count", tx.word_count("content")).alias("word_count"), F.col("position"), pick("type", F.lit("text")).alias("content_type"),
+        pick("heading", none).alias("heading"), pick("code_language", none).alias("code_language"),
     )

@@ -11,7 +11,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pagemill.operators import html as html_functions
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A tag that opens closes an open one of these kinds, up to the nearest container.
@@ -246,27 +249,134 @@ def to_markdown(root: Node) -> str:
     return post_process("\n\n".join(x for x in out if x))
 
 
-SCHEMA = "title string, main_html string, markdown string, links array<struct<href:string,text:string,rel:string>>, error string"
+def _meta(root: Node, **attrs: str) -> Node | None:
+    return root.first(lambda n: n.tag == "meta" and all(n.attrs.get(k.replace("_", "-")) == v for k, v in attrs.items()))
+
+
+#: Keys of page metadata and the name or property of the meta tag whose content they hold.
+META_NAMES = {"description": "description", "viewport": "viewport", "authors": "author", "summary": "summary", "site-id": "site-id", "app-version": "app-version", "docs-boost": "docs-boost"}
+#: Open graph names with keys of their own; all others get `og` and a capital, the rest in lower case.
+OG_NAMES = {"title": "ogTitle", "description": "ogDescription", "image": "ogImage", "url": "ogUrl", "site_name": "ogSiteName", "locale": "ogLocale", "type": "og:type"}
+
+
+def metadata(root: Node) -> dict[str, str]:
+    """What a page says of itself. The first tag of a kind counts, of open graph and twitter names the last one with a content."""
+    out: dict[str, str] = {}
+
+    def put(key: str, node: Node | None, *names: str) -> None:
+        if node is not None:
+            out[key] = next((v for n in names if (v := node.attrs.get(n, "").strip())), "")
+
+    if title := root.first(lambda n: n.tag == "title"):
+        out["title"] = title.text()
+    for key, name in META_NAMES.items():
+        put(key, _meta(root, name=name), "content")
+    for node in root.walk():
+        if node.tag != "meta":
+            continue
+        content, og, card = node.attrs.get("content", "").strip(), node.attrs.get("property", ""), node.attrs.get("name", "")
+        if content and og.startswith("og:") and len(og) > 3:
+            out[OG_NAMES.get(og[3:], "og" + og[3:].capitalize())] = content
+        if content and card.startswith("twitter:") and len(card) > 8:
+            out[card] = content
+    related = lambda rel: root.first(lambda n: n.tag == "link" and (rel in (r := n.attrs.get("rel", "")).split() or r == rel))
+    put("canonical_url", related("canonical"), "href")
+    put("favicon", related("icon") or related("shortcut icon"), "href")
+    page = root.first(lambda n: n.tag == "html")
+    if page and page.attrs.get("lang"):
+        out["language"] = page.attrs["lang"]
+    put("charset", root.first(lambda n: n.tag == "meta" and "charset" in n.attrs), "charset")
+    put("contentType", _meta(root, http_equiv="content-type"), "content")
+    either = lambda name: _meta(root, property=name) or _meta(root, name=name)
+    published = either("article:published_time") or root.first(lambda n: n.tag == "time" and "datetime" in n.attrs)
+    if published and (published.attrs.get("content") or published.attrs.get("datetime")):
+        put("published_at", published, "content", "datetime")
+    put("categories", either("article:section") or _meta(root, property="article:tag"), "content")
+    put("author_images", root.first(lambda n: n.tag == "img" and re.search("author|writer", n.attrs.get("alt", ""), re.I)), "src")
+    put("fb:app_id", _meta(root, property="fb:app_id"), "content")
+    return out
+
+
+#: Selectors of the pages of bot protection, by system.
+WALL_SELECTORS = {
+    "cloudflare": ("#challenge-form", "#challenge-running", "div[class*='cf-browser-verification']", "#cf-challenge-running", ".cf-browser-verification", "#cf-challenge-stage", ".cf-checking-browser", ".cf-wrapper"),
+    "datadome": ("[class*='datadome']", "[id*='datadome']", ".dd-challenge"),
+    "incapsula": ("[class*='incap']", "[id*='incap']", ".incap-challenge"),
+    "akamai": (),
+    "generic_captcha": ("[class*='captcha']", "[class*='challenge']", "[class*='verification']", "[class*='security-check']", "iframe[src*='recaptcha']", "iframe[src*='hcaptcha']", ".g-recaptcha", ".h-captcha"),
+}
+
+
+def selected(root: Node, selector: str) -> bool:
+    """Whether a page has an element for a selector: #id, .class, or tag[attribute*='part'] with the tag left out or not."""
+    if selector[0] in "#.":
+        name, want = ("id", {selector[1:]}) if selector[0] == "#" else ("class", set())
+        return any((n.attrs.get(name) in want) if want else selector[1:] in n.attrs.get(name, "").split() for n in root.walk())
+    tag, name, part = re.fullmatch(r"(\w*)\[(\w+)\*='([^']*)'\]", selector).groups()
+    return any((not tag or n.tag == tag) and part in n.attrs.get(name, "") for n in root.walk())
+
+
+def _of_pages(schema: str, of_page):
+    """A function of page columns to structs of a schema, by of_page; only the pages go to Python, Arrow-batched."""
+    names = [x.split()[0] for x in re.split(r", (?=\w+ )", schema)]
+
+    @F.pandas_udf(schema)
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of_page(x) for x in pages], columns=names, dtype=object)
+
+    return run
+
+
+def wall_selectors(html: Column) -> Column:
+    """Map of system to the number of its selectors that are found."""
+
+    def count(page: str | None) -> tuple:
+        root = parse(page or "")
+        return ({system: sum(selected(root, s) for s in wanted) for system, wanted in WALL_SELECTORS.items()},)
+
+    return _of_pages("hits map<string,int>", count)(html)["hits"]
+
+
+SCHEMA = "title string, main_html string, markdown string, links array<struct<href:string,text:string,rel:string>>, metadata map<string,string>, error string"
 
 
 def extract(pages: DataFrame, html_col: str = "html", only_main: bool = True, effective: bool = False, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """pages (without the html) with title, main_html, markdown, links of the whole page, and error."""
+    """pages (without the html) with title, main_html, markdown, links of the whole page, metadata, and error."""
+
+    def of_page(page: str | None) -> tuple:
+        try:
+            root = parse(page or "")
+            title, told = root.first(lambda n: n.tag == "title"), metadata(root)
+            links = [{"href": n.attrs.get("href", ""), "text": n.text(), "rel": n.attrs.get("rel", "")} for n in root.walk() if n.tag == "a"]
+            body = root.first(lambda n: n.tag == "body") or root
+            main = clean(main_content(root, effective) if only_main else body, include, exclude)
+            return title.text() if title else "", to_html(main), to_markdown(main), [x for x in links if x["href"]], told, None
+        except Exception as e:  # noqa: BLE001  a page's failure is its row's result
+            return None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    kept = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
+    found = pages.select(*kept, _of_pages(SCHEMA, of_page)(F.col(html_col)).alias("_found"))
+    return found.select(*kept, "_found.*")
+
+
+def records(pages: DataFrame, url_col: str = "url", html_col: str = "html", **how) -> DataFrame:
+    """Scrape results (page columns but the html; success, markdown, html, links, metadata, warning, structured_data).
+
+    Metadata start from title, description and language (null), the address, status and error, and what the page says of
+    itself is laid over them. links is null where there are none. A page that is null or can't be taken apart is a failure:
+    status 500, its error as the warning, nothing else.
+    """
+    page = F.col(html_col)
     kept = [c for c in pages.columns if c != html_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html_col)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for page in b[html_col]:
-                try:
-                    root = parse(page or "")
-                    title = root.first(lambda n: n.tag == "title")
-                    links = [{"href": n.attrs.get("href", ""), "text": n.text(), "rel": n.attrs.get("rel", "")} for n in root.walk() if n.tag == "a"]
-                    body = root.first(lambda n: n.tag == "body") or root
-                    main = clean(main_content(root, effective) if only_main else body, include, exclude)
-                    rows.append((title.text() if title else "", to_html(main), to_markdown(main), [x for x in links if x["href"]], None))
-                except Exception as e:  # noqa: BLE001  a page's failure is its row's result
-                    rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.concat([b[kept].reset_index(drop=True), pd.DataFrame(rows, columns=["title", "main_html", "markdown", "links", "error"])], axis=1)
-
-    return pages.mapInPandas(run, f"{schema}, {SCHEMA}")
+    told = pages.select(*kept, page.alias("_page"), page.isNull().alias("_missing"), html_functions.structured_record(page).alias("structured_data"))
+    found = extract(told, "_page", **how)
+    error = F.coalesce(F.col("error"), F.when(F.col("_missing"), "no content"))
+    good, none = error.isNull(), F.lit(None).cast("string")
+    base = {"title": none, "description": none, "language": none, "sourceURL": F.col(url_col), "statusCode": F.when(good, "200").otherwise("500"), "error": error}
+    base = F.create_map(*[x for k, v in base.items() for x in (F.lit(k), v)])
+    return found.select(
+        *kept, good.alias("success"), F.when(good, F.col("markdown")).alias("markdown"), F.when(good, F.col("main_html")).alias("html"),
+        F.when(good & (F.size("links") > 0), F.transform("links", lambda x: x["href"])).alias("links"),
+        F.map_concat(base, F.when(good, F.col("metadata")).otherwise(F.create_map().cast("map<string,string>"))).alias("metadata"),
+        error.alias("warning"), F.when(good, F.col("structured_data")).alias("structured_data"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 
-#: Open graph names with names of their own; all others get `og` and a capital.
+#: Open graph names with names of their own; all others get `og` and a capital, the rest in lower case.
 OG_NAMES = {"title": "ogTitle", "description": "ogDescription", "image": "ogImage", "url": "ogUrl", "site_name": "ogSiteName", "locale": "ogLocale", "type": "og:type"}
 
 
@@ -75,7 +75,7 @@ def renamed_open_graph(og: Column) -> Column:
     """Open graph keys as page metadata names them."""
 
     def named(k: Column) -> Column:
-        out = F.concat(F.lit("og"), F.upper(F.substring(k, 1, 1)), F.substring(k, 2, 1 << 20))
+        out = F.concat(F.lit("og"), F.upper(F.substring(k, 1, 1)), F.lower(F.substring(k, 2, 1 << 20)))
         for name, to in OG_NAMES.items():
             out = F.when(k == name, to).otherwise(out)
         return out
@@ -136,30 +136,53 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(text), r"[\s ]+", " "))
 
 
-#: Phrases by which pages of bot protection are known, in the order in which ties are settled.
+#: Patterns by which pages of bot protection are known, in the order in which ties are settled.
 BOT_WALL_TEXT = {
-    "cloudflare": ("checking your browser before accessing", "please wait while we verify", "ray id", "ddos protection by cloudflare", "attention required! \\| cloudflare", "please turn javascript on", "cloudflare to restrict access", "verify you are human", "just a moment", "enable cookies"),
-    "datadome": ("datadome", "please enable js and disable any ad blocker", "access to this page has been denied", "you have been blocked"),
-    "incapsula": ("incapsula incident", "request unsuccessful", "powered by imperva", "_incapsula_resource"),
-    "akamai": ("reference #[0-9a-f.]+", "you don't have permission to access", "akamai"),
-    "captcha": ("captcha", "prove you are human", "i'm not a robot", "security check", "unusual traffic"),
+    "cloudflare": ("cloudflare", "ray id:", "please wait while we verify", "please enable cookies", "please complete the security check", "checking your browser", "just a moment", "attention required", "cf-browser-verification", "cf-challenge-running"),
+    "datadome": ("datadome", "access denied", "blocked by datadome", "captcha.*datadome"),
+    "incapsula": ("incapsula", "incap_ses", "visid_incap", "blocked by incapsula"),
+    "akamai": ("akamai", "ak-bmsc", "akamai.*bot.*manager"),
+    "generic_captcha": ("captcha", "recaptcha", "hcaptcha", "security check", "verify.*human"),
 }
-CLOUDFLARE_TITLE = "just a moment|attention required|cloudflare"
+#: Phrases of the titles of such pages.
+BOT_WALL_TITLES = ("just a moment", "attention required", "checking your browser")
 
 
 def bot_wall(pages: DataFrame, html_col: str = "html", selector_hits: Column | None = None) -> DataFrame:
-    """pages with wall_type, wall_confidence and wall_detected: 15 a phrase, 25 for a title; more than 30 is a wall.
+    """pages with wall_type, wall_confidence and wall_detected: 15 a pattern, 25 for a title; more than 30 is a wall.
 
-    selector_hits, a map of system to number of selectors found (operators.dom gives it), adds 20 each.
+    selector_hits, a map of system to number of selectors found (operators.dom.wall_selectors gives it), adds 20 each.
     """
     text, scores = F.lower(F.col(html_col)), []
-    for name, phrases in BOT_WALL_TEXT.items():
-        points = sum((F.when(text.rlike(p), 15).otherwise(0) for p in phrases), F.lit(0))
+    for name, patterns in BOT_WALL_TEXT.items():
+        points = sum((F.when(text.rlike(p), 15).otherwise(0) for p in patterns), F.lit(0))
         if name == "cloudflare":
-            points = points + F.when(F.lower(title(F.col(html_col))).rlike(CLOUDFLARE_TITLE), 25).otherwise(0)
+            points = points + F.when(F.lower(title(F.col(html_col))).rlike("|".join(BOT_WALL_TITLES)), 25).otherwise(0)
         if selector_hits is not None:
             points = points + F.coalesce(selector_hits[name], F.lit(0)) * 20
         scores.append(F.struct(points.cast("long").alias("points"), F.lit(name).alias("name")))
-    out = pages.withColumn("_best", F.aggregate(F.array(*scores), scores[0], lambda a, x: F.when(x["points"] > a["points"], x).otherwise(a)))
-    hit = F.col("_best.points") > 30
+    best = F.aggregate(F.array(*scores), scores[0], lambda a, x: F.when(x["points"] > a["points"], x).otherwise(a))
+    out = pages.select("*", best.alias("_best"))
+    hit = F.coalesce(F.col("_best.points") > 30, F.lit(False))
     return out.select(*pages.columns, hit.alias("wall_detected"), F.when(hit, F.col("_best.name")).alias("wall_type"), F.when(hit, F.col("_best.points")).otherwise(0).alias("wall_confidence"))
+
+
+def structured_record(page: Column) -> Column:
+    """jsonLd, openGraph, twitterCard and metaData of a page as one value; a page that is null has none of them, and no language.
+
+    Empty contents are left out, metaData always has its language.
+    """
+    meta = metas(page)
+    own = F.filter(meta, lambda m: ~m["name"].startswith("og:") & ~m["name"].startswith("twitter:"))
+    language = F.create_map(F.lit("language"), F.coalesce(primary_language(page, meta), F.lit("")))
+    plain = F.map_filter(_last(own, lambda n: n), lambda k, _: k != "language")
+    none = F.create_map().cast("map<string,string>")
+    return F.struct(
+        F.coalesce(json_ld(page), F.array().cast("array<variant>")).alias("jsonLd"), F.coalesce(open_graph(meta), none).alias("openGraph"),
+        F.coalesce(twitter_card(meta), none).alias("twitterCard"), F.map_concat(F.coalesce(plain, none), language).alias("metaData"),
+    )
+
+
+def valid_json_ld(found: Column) -> Column:
+    """Of parsed ld+json values those with a context and a type."""
+    return F.filter(found, lambda v: F.try_variant_get(v, "$['@context']", "string").isNotNull() & F.try_variant_get(v, "$['@type']", "string").isNotNull())

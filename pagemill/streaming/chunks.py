@@ -23,9 +23,15 @@ def publish(docs: DataFrame, out: str, checkpoint: str, kind: str = "fixed", key
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def messages(records: DataFrame) -> DataFrame:
+    """(key, value) of chunk records: their id, and the twelve fields as JSON, absent ones included as null."""
+    fields = ("chunk_id", "url", "chunk_number", "total_chunks", "chunk_content", "chunk_type", "timestamp", "word_count", "position", "content_type", "heading", "code_language")
+    return records.select(F.col("chunk_id").alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def to_kafka(records: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
-    """Chunk records as JSON keyed by chunk_id; needs Spark's Kafka package on the class path."""
-    rows = records.select(F.col("chunk_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    """Chunk records as messages; needs Spark's Kafka package on the class path."""
+    rows = messages(records)
     return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 import zlib
 
@@ -9,6 +10,7 @@ from pagemill.functions import text as tx
 from pagemill.functions import urls
 from pagemill.operators import chunk, crawl, dom, html, render, retrieval, store
 from pagemill.sources import convert
+from pagemill.streaming.chunks import messages
 
 
 def one(spark, *columns):
@@ -29,7 +31,7 @@ def test_text(spark):
     assert list(got) == [3, 0, 2, "docx", "ab.txt", "2024-01-02T03:04:05", "bad", "3"]
     md = "#Head\n-item\n---\n[x](/a#top)\n\n\n\ntext"
     assert one(spark, tx.clean_markdown(F.lit(md)))[0] == "# Head\n- item\n---\n[x](/a#top)\n\ntext"
-    assert one(spark, tx.clean_response(F.lit("<think>a\nb</think>yes\n \n\nno [reasoning]x[/reasoning]")))[0] == "yes\n\nno"
+    assert one(spark, tx.clean_response(F.lit("<think>a\nb</think>yes\n \n\n<internal>p</internal>no [thought]x[/thought]<analysis>")))[0] == "yes\n\nno <analysis>"
     assert one(spark, tx.fixed_slices(F.lit("abcde"), 2), tx.fixed_slices(F.lit(""), 2))[:] == (["ab", "cd", "e"], [])
 
 
@@ -46,9 +48,29 @@ def test_structured(spark):
 
 
 def test_bot_wall(spark):
-    rows = [(1, "<title>Just a moment...</title>Ray ID 1"), (2, "Ray ID: please enable cookies"), (3, "datadome Please enable JS and disable any ad blocker. You have been blocked"), (4, "fine")]
-    got = {r.page_id: (r.wall_detected, r.wall_type) for r in html.bot_wall(spark.createDataFrame(rows, "page_id long, html string")).collect()}
-    assert got == {1: (True, "cloudflare"), 2: (False, None), 3: (True, "datadome"), 4: (False, None)}
+    rows = [
+        (1, "<title>Just a moment...</title>Ray ID: 1"), (2, "Ray ID: 7, cloudflare"), (3, "DataDome access denied"), (4, "fine"), (5, None),
+        (6, '<div id="x" class="a incap-challenge">incapsula</div>'), (7, '<iframe src="https://recaptcha/api"></iframe><p class="g-recaptcha">verify you are human</p>'),
+        (8, '<div class="cf-wrapper cf-browser-verification"><form id="challenge-form"></form></div>'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: (r.wall_detected, r.wall_type, r.wall_confidence) for r in html.bot_wall(pages).collect()}
+    # 1: a pattern in the title and one in the text, and the title's phrase; 2, 3: two patterns each, not more than 30.
+    assert got == {1: (True, "cloudflare", 55), 2: (False, None, 0), 3: (False, None, 0), 4: (False, None, 0), 5: (False, None, 0), 6: (False, None, 0), 7: (True, "generic_captcha", 45), 8: (False, None, 0)}
+    hits = pages.withColumn("hits", dom.wall_selectors(F.col("html")))
+    got = {r.page_id: (r.wall_type, r.wall_confidence) for r in html.bot_wall(hits, selector_hits=F.col("hits")).collect()}
+    # 6: two selectors and a pattern; 7: an iframe, two by class, three patterns; 8: four selectors and a pattern.
+    assert got[6] == ("incapsula", 55) and got[7] == ("generic_captcha", 45 + 60) and got[8] == ("cloudflare", 95)
+
+
+def test_robots_groups(spark):
+    """Agents in a row share the rules below them; a new group starts at the first agent after a rule."""
+    body = "User-agent: *\nUser-agent: foo\nDisallow: /x # no\nAllow: /x/open\n\nUser-agent: bar\nDisallow: /y\nuser-AGENT: baz\nUser-agent: *\nDisallow: /z\nDisallow:"
+    hosts = spark.createDataFrame([("h", body), ("g", None), ("i", "nothing here")], "host string, body string")
+    assert {tuple(r) for r in crawl.robots_rules(hosts).collect()} == {("h", False, "/x"), ("h", True, "/x/open"), ("h", False, "/z")}
+    assert {tuple(r) for r in crawl.robots_rules(hosts, "Bar").collect()} == {("h", False, "/y")}
+    links = spark.createDataFrame([("http://h/x/1",), ("http://h/x/open/1",), ("http://h/y",), ("http://h/z",), ("http://i/x",), (None,)], "link string")
+    assert {r.link for r in crawl.allowed(links, crawl.robots_rules(hosts)).collect()} == {"http://h/x/open/1", "http://h/y", "http://i/x", None}
 
 
 PAGE = """<html><head><title>P</title></head><body><header><section>keep</section></header><nav><a href="/n">n</a></nav><div class="ad">long advertisement text here</div>
@@ -75,7 +97,7 @@ MD = "intro text\n# A\nalpha\n## B\nbeta\n```py\n# not a header\n```\nafter\n###
 
 
 def test_semantic_chunks(spark):
-    docs = spark.createDataFrame([(1, MD), (2, ""), (3, "no header"), (4, "# only")], "doc_id long, markdown string")
+    docs = spark.createDataFrame([(1, MD), (2, ""), (3, "no header"), (4, "# only"), (5, None)], "doc_id long, markdown string")
     rows = chunk.markdown(docs).orderBy("doc_id", "position").collect()
     got = [(r.doc_id, r.position, r.content, r.type, r.heading, r.path) for r in rows]
     assert got == [
@@ -83,6 +105,9 @@ def test_semantic_chunks(spark):
         (1, 3, "```py\n# not a header\n```", "code", "B", ["A", "B"]), (1, 4, "after", "text", "B", ["A", "B"]), (1, 5, "| a | b |\n|-|-|", "table", "D", ["D"]),
         (3, 0, "no header", "text", None, []),
     ]
+    twice = spark.createDataFrame([(1, "# A\nx\ny"), (1, "# A\nx\ny")], "doc_id long, markdown string")
+    assert [r.content for r in chunk.markdown(twice).collect()] == ["x\ny", "x\ny"]
+    assert rows[3].line_count == 3 and rows[2].parent_id == rows[3].parent_id is not None and rows[1].parent_id is None
     assert rows[3].code_language == "py" and rows[0].needs_merge is False and chunk.markdown(docs, strict_size=True).where("needs_merge").count() == 4
 
 
@@ -96,6 +121,10 @@ def test_sentences_and_paragraphs(spark):
     assert " ".join(r.content for r in flat).split() == text.split()
     para = spark.createDataFrame([(1, "aaa\n\nbb\n\ncccc\n\nd\n\n" + "e" * 9)], "doc_id long, text string")
     assert [r.content for r in chunk.paragraphs(para, limit=5).orderBy("position").collect()] == ["aaa\n\nbb", "cccc\n\nd", "e" * 9]
+    made = chunk.records(chunk.markdown(spark.createDataFrame([(1, MD)], "doc_id long, markdown string")), url=F.lit("http://u"), processed_at=F.lit("2024-01-02"))
+    told = [json.loads(r.value) | {"key": r.key} for r in messages(made).collect()]
+    assert all(set(x) == {"key", "chunk_id", "url", "chunk_number", "total_chunks", "chunk_content", "chunk_type", "timestamp", "word_count", "position", "content_type", "heading", "code_language"} for x in told)
+    assert all(x["key"] == x["chunk_id"] and x["url"] == "http://u" and x["timestamp"] == "2024-01-02" for x in told) and len({x["key"] for x in told}) == 6
     records = chunk.records(chunk.fixed(docs, n=40)).orderBy("chunk_number").collect()
     assert [r.chunk_number for r in records] == [1, 2, 3] and {r.total_chunks for r in records} == {3}
 
