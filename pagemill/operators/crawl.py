@@ -96,6 +96,17 @@ def crawl(
     return found, {"total_urls": total, "success_count": ok, "failed_count": total - ok, "skipped_count": skipped}
 
 
+def responses(records: DataFrame) -> DataFrame:
+    """(url, markdown, structured_data) of the pages of a crawl that were read, as its answer gives them."""
+    return records.where("success").select("url", "markdown", "structured_data")
+
+
+def documents(records: DataFrame) -> DataFrame:
+    """(url, content, title, description, language) of crawled pages, for retrieval; what meta tags don't say is null."""
+    meta = F.col("structured_data.metaData")
+    return responses(records).select("url", F.col("markdown").alias("content"), *[F.try_element_at(meta, F.lit(k)).alias(k) for k in ("title", "description", "language")])
+
+
 def reachable(edges: DataFrame, seed: str, max_depth: int) -> DataFrame:
     """(url, depth): least depths, by a recursive query."""
     edges.createOrReplaceTempView("_pagemill_edges")

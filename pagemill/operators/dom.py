@@ -71,7 +71,9 @@ class _Builder(HTMLParser):
                 if tag != "tr":
                     break
             node = node.parent
-        new = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        new = Node(tag, {}, self.at)
+        for k, v in attrs:  # the first of equal names counts
+            new.attrs.setdefault(k, v or "")
         self.at.children.append(new)
         if tag not in VOID:
             self.at = new

@@ -36,7 +36,7 @@ def element(type_: Column, level: Column, content: Column, items: Column, rows:
         .when(type_ == "math", F.concat(F.lit("$$"), content, F.lit("$$")))
         .when(type_ == "rule", "---")
         .when(type_ == "quote", F.concat(F.lit("> "), F.replace(content, F.lit("\n"), F.lit("\n> "))))
-        .when(type_.isin("metadata", "footnote", "citation"), "")
+        .when(type_.isin("metadata", "footnote", "citation", "warning"), "")
         .otherwise(content)
     )
 

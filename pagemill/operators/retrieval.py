@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries of one call of search_many().
+QUERIES = 10_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -26,6 +30,39 @@ def search(vectors: DataFrame, query: list[float], k: int = 3, floor: float = 0.
     return best.withColumn("_top", top).where((F.col("score") >= floor) | (F.col("_top") < floor)).drop("_top")
 
 
+def search_many(queries: DataFrame, vectors: DataFrame, k: int = 3, floor: float = 0.65, good: float = 0.7, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, score, tier) of the k most similar rows to each query, best first.
+
+    strict: rows at the floor, if the best one is good. exact: all k rows, where the best is below that, or nothing reaches the
+    floor. As the scan is exact, every laxer floor would give a part of the same k rows.
+
+    The queries are a stated set: they are broadcast up to QUERIES rows, and must not be more. Each task sends k rows of a
+    query on.
+    """
+    n = queries.limit(QUERIES + 1).count()
+    if n > QUERIES:
+        raise ValueError(f"more than {QUERIES} queries; use an index, or blocks of queries")
+    asked = queries.select(F.col(query_id), F.col(query_vector).alias("_q"))
+    scored = vectors.select(F.col(id_col), F.col(vector_col).alias("_v")).join(F.broadcast(asked)).select(query_id, id_col, cosine(F.col("_v"), F.col("_q")).alias("score"))
+    best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
+    top = scored.where("score is not null").withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
+    most = F.max("score").over(Window.partitionBy(query_id))
+    top = top.withColumn("tier", F.when(most >= good, "strict").otherwise("exact"))
+    return top.where((F.col("tier") == "exact") | (F.col("score") >= floor)).drop("_rn")
+
+
+def in_collection(queries: DataFrame, vectors: DataFrame, n: int = 5, floor: float = 0.8, collection: str = "collection_id", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, relevance) of the n nearest rows of each query's own collection, those of enough relevance.
+
+    Relevance is 1 - d / max(d) over the n rows found, d the cosine distance. Rows that aren't relevant aren't filled in,
+    however few are left.
+    """
+    both = vectors.select(collection, id_col, F.col(vector_col).alias("_v")).join(queries.select(query_id, collection, F.col(query_vector).alias("_q")), collection)
+    near = both.select(query_id, id_col, (1 - cosine(F.col("_v"), F.col("_q"))).alias("distance")).where("distance is not null")
+    found = near.withColumn("_rn", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))).where(F.col("_rn") <= n).drop("_rn")
+    return relevant(found, query_id, floor).drop("distance")
+
+
 def relevant(distances: DataFrame, query_col: str = "query_id", floor: float = 0.8) -> DataFrame:
     """Relevance 1 - d / max(d) within a query, rounded to 3; rows at the floor stay. All distances 0: relevance 1."""
     most = F.max("distance").over(Window.partitionBy(query_col))
@@ -52,6 +89,41 @@ def prompt(system: Column, history: Column, question: Column) -> Column:
     return F.when(F.trim(question) != "", F.concat(F.array(message("system", system)), history, F.array(message("user", question))))
 
 
+def answer_prompt(questions: DataFrame, passages: DataFrame, chat: DataFrame, system: str, query_id: str = "query_id", conv: str = "conv_id", turns: int = 5) -> DataFrame:
+    """(query_id, context, messages): what a model is to be asked for each question (query_id, conv, question).
+
+    passages (query_id, rank, text, and url, title where they are known) become the context, numbered, or with the address
+    that each is from; the last turns of the question's conversation (conv, turn, role, text) become the history.
+    """
+    sourced = F.when(F.col("url").isNotNull(), F.concat(F.lit("From "), F.col("url"), F.lit(" ("), F.coalesce("title", F.lit("")), F.lit("):\n"), F.col("text")))
+    texts = passages.select(query_id, "rank", F.coalesce(sourced, F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text"))).alias("t"))
+    found = F.array_sort(F.collect_list(F.struct("rank", "t")))
+    contexts = texts.groupBy(query_id).agg(F.array_join(F.transform(found, lambda x: x["t"]), "\n\n").alias("context"))
+    tail = chat.withColumn("_rn", F.row_number().over(Window.partitionBy(conv).orderBy(F.desc("turn")))).where(F.col("_rn") <= turns)
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    histories = tail.groupBy(conv).agg(F.transform(said, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("history"))
+    asked = questions.join(contexts, query_id, "left").join(histories, conv, "left")
+    told = F.concat(F.lit(system + "\n\n"), F.coalesce("context", F.lit("")))
+    history = F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>"))
+    return asked.select(query_id, "context", prompt(told, history, F.col("question")).alias("messages")).where("messages is not null")
+
+
+def flat_prompt(messages: Column) -> Column:
+    """Messages as `role: content` lines, for models that take one text."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+
+
+#: How a text becomes a vector, by name; remote models are added by their users as functions of a column.
+EMBEDDERS = {"hashed": lambda text: hashed_embedding(text)}
+
+
+def embedder(name: str = "hashed"):
+    """The function of a name; names that nothing was added for are an error."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"no embedder {name!r}; there are {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[name]
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """An offline stand-in for a remote embedding: signed counts of hashed words."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")

@@ -7,24 +7,11 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.functions import urls
-from pagemill.operators import chunk, crawl, html, render, retrieval, store
+from pagemill.operators import chunk, html, render, retrieval, store
+from pagemill.plans.registry import ORACLES, QUERIES, query
 from pagemill.session import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query by its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 _TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
 _LANG = "split_part(regexp_extract(html, '(?is)<html\\b[^>]*?\\blang\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), '-', 1)"
@@ -145,19 +132,6 @@ def chunk_paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
     return packed.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 
-@query()
-def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.sentences(table(spark, d, "documents"))
-
-
-@query(f"SELECT page_id, CAST(1 AS BIGINT) AS n_chunks, {_TITLE} AS heading, 1 AS level FROM pages WHERE {_plain(_MAIN)} <> ''")
-def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    """Each page as one header and its main text, chunked by headers."""
-    page = F.col("html")
-    docs = table(spark, d, "pages").select("page_id", F.concat(F.lit("# "), html.title(page), F.lit("\n"), html.plain_text(html.main_html(page))).alias("markdown"))
-    return chunk.markdown(docs, id_col="page_id").groupBy("page_id").agg(F.count("*").alias("n_chunks"), F.max("heading").alias("heading"), F.max("level").alias("level"))
-
-
 @query(
     """
     WITH l AS (SELECT doc_id, unnest(range(0, (length(text) + 999) // 1000)) AS i, text FROM documents WHERE length(text) > 0)
@@ -271,46 +245,6 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     return store.rate_limited(table(spark, d, "events"), "user_id", "ts", most=3).select("event_id", "in_window", "allowed")
 
 
-@query("SELECT page_id, false AS wall_detected, CAST(0 AS BIGINT) AS wall_confidence FROM pages")
-def bot_wall_score(spark: SparkSession, d: str) -> DataFrame:
-    """Page-quality label; no page of the corpus is a wall, tests hold the scores on fixtures."""
-    return html.bot_wall(table(spark, d, "pages")).select("page_id", "wall_detected", F.col("wall_confidence").cast("long").alias("wall_confidence"))
-
-
-_EDGES = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("d", "e"), ("e", "f"), ("f", "g")]
-_VALUES = ", ".join(f"('http://h/{x}', 'http://h/{y}')" for x, y in _EDGES)
-
-
-@query(
-    f"""
-    WITH RECURSIVE e(src, dst) AS (VALUES {_VALUES}), walk(url, depth) AS (
-        SELECT 'http://h/a', 0 UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 4
-    ) SELECT url, min(depth) AS depth FROM walk GROUP BY url
-    """
-)
-def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
-    edges = spark.createDataFrame([(f"http://h/{x}", f"http://h/{y}") for x, y in _EDGES], "src string, dst string")
-    nodes = edges.select(F.col("src").alias("url")).union(edges.select("dst")).distinct()
-    return crawl.crawl(spark, "http://h/a", nodes, edges, max_depth=4)[0].select("url", "depth")
-
-
-@query(f"SELECT {_HOST} AS host, count(*) AS total, count(*) FILTER (page_id % 7 <> 0) AS success, count(*) FILTER (page_id % 7 = 0) AS failed FROM pages GROUP BY 1")
-def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
-    bad = F.col("page_id") % 7 == 0
-    pages = table(spark, d, "pages").groupBy(urls.authority(F.col("url")).alias("host"))
-    return pages.agg(F.count("*").alias("total"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("failed"))
-
-
-@query("SELECT 'Person' AS type, 'Ann' AS name UNION ALL SELECT 'Org', 'Acme'")
-def jsonld_extract(spark: SparkSession, d: str) -> DataFrame:
-    """One object, one that doesn't parse, one empty, one list, of which only named things with a type count."""
-    block = '<script type="application/ld+json">{}</script>'
-    page = "".join(block.format(x) for x in ('{"@type":"Person","name":"Ann"}', "{bad", "", '[{"@type":"Org","name":"Acme"},{"name":"no type"}]'))
-    found = spark.range(1).select(F.explode(html.json_ld(F.lit(page))).alias("v"))
-    out = found.select(F.try_variant_get("v", "$['@type']", "string").alias("type"), F.try_variant_get("v", "$.name", "string").alias("name"))
-    return out.where("type is not null")
-
-
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\S\\n]+', ' ', 'g'), '(?m)^ | $', '', 'g'), chr(10) || ' ') AS cleaned FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.clean_text("text").alias("cleaned"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagemill.operators import chunk
+from pagemill.operators import chunk, retrieval, store
 
 
 def read_files(spark: SparkSession, path: str, schema, per_trigger: int = 100) -> DataFrame:
@@ -43,3 +43,41 @@ def windowed(events: DataFrame, ts: str = "ts", late: str = "10 minutes", width:
 def fresh(requests: DataFrame, key: str = "key", ts: str = "ts", ttl: str = "1 day") -> DataFrame:
     """The first request of each key within the time to live."""
     return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+
+
+def upsert_into(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, *ties: str) -> StreamingQuery:
+    """Keeps one row a key, the newest version, of a stream, as a table under path; read_upserted() reads it.
+
+    A batch writes a new table beside the old one and then turns a pointer to it: a batch that is run again writes its own
+    table anew, from the one before, and readers never see a half.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        old = _table(spark, path)
+        both = batch if old is None else old.select(batch.columns).unionByName(batch)
+        store.upsert(both, batch.limit(0), key, version, *ties).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark.range(1).select(F.lit(f"epoch={epoch}")).coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    return _table(spark, path)
+
+
+def embed_and_store(docs: DataFrame, out: str, checkpoint: str, embed=retrieval.hashed_embedding, kind: str = "fixed", key: str = "doc_id", **how) -> StreamingQuery:
+    """Chunk records of a stream of documents with the vector of each, appended batch by batch, as publish() does."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        made = chunk.records(chunk.chunk(batch, kind, **how), key)
+        made.withColumn("embedding", embed(F.col("chunk_content"))).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
