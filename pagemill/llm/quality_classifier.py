@@ -8,8 +8,9 @@ which are shrunk towards the global prior. The strength of each shrinkage is est
 groups (method of moments), so sparse sites fall back on what is known of all. A document's odds are its own, with the
 labelled base rate replaced by the posterior of its path, from which its own count is taken out.
 
-Labelled rows are found by a join of ids before anything is measured; only their sums (BUCKETS counts, a few hundred
-numbers a step, four numbers on the groups) come to the driver. All documents are measured once and written with their
+The model is fitted on at most MOST_LABELS labelled rows, chosen by a hash of their ids: so many ids are broadcast to find
+their texts before anything is measured. Only sums over them (BUCKETS counts, a few hundred numbers a step, four numbers on the
+groups) come to the driver. All documents are measured once and written with their
 evidence; group sums are pre-aggregated over hosts and paths, and come back to the rows by common.joined(), which moves no
 text where sites are few and salts hot sites where they are many.
 
@@ -39,8 +40,8 @@ RIDGE, STEPS = 0.1, 10
 WEAKEST, STRONGEST = 2.0, 1000.0
 #: Buckets of hashed words, and the count added to each side of a bucket's odds.
 BUCKETS, SMOOTH = 4096, 4.0
-#: Number of measures.
-MEASURES = 10
+#: Number of measures; labelled rows that the model is fitted on, at most (a third more by chance).
+MEASURES, MOST_LABELS = 10, 60_000
 
 
 def _bucket(word: Column) -> Column:
@@ -83,22 +84,26 @@ def measures(docs: DataFrame, text_col: str, odds: np.ndarray, name: str) -> Dat
 
 
 def _word_odds(rows: DataFrame) -> np.ndarray:
-    """The log-odds of each bucket, centred: rows (text, y) counted by documents that hold a word of it."""
-    words = rows.select("y", F.explode(F.array_distinct(F.transform(_split(F.col("text")), _bucket))).alias("k"))
-    sums = words.groupBy("k").agg(F.sum("y").alias("good"), F.count("*").alias("n")).toPandas()  # BUCKETS rows at most
+    """The log-odds of each bucket, centred: labels (good of n) of rows (text, good, n) that hold a word of it."""
+    words = rows.select("good", "n", F.explode(F.array_distinct(F.transform(_split(F.col("text")), _bucket))).alias("k"))
+    sums = words.groupBy("k").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
     good, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     good[sums["k"]], bad[sums["k"]] = sums["good"], sums["n"] - sums["good"]
     odds = np.log((good + SMOOTH) / (bad + SMOOTH)) - np.log((good.sum() + SMOOTH) / (bad.sum() + SMOOTH))
     return np.round(np.where(good + bad > 0, odds, 0.0), 4)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, list[float], float]:
-    """(log-odds of the buckets, weights with the constant last, labelled base rate) from all labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELS) -> tuple[np.ndarray, list[float], float]:
+    """(log-odds of the buckets, weights with the constant last, labelled base rate) from `most` labelled rows."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("double").alias("y"))
+    y = y.groupBy("id").agg(F.sum("y").alias("good"), F.count("*").alias("n"))
+    many = y.count()
+    if many > most:
+        y = y.where(F.pmod(F.xxhash64(F.lit("label"), "id"), F.lit(1 << 40)) < (most << 40) // many)
     known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = cut(known.join(y, "id").select("text", "y", (crc_fold("id", 2) == 0).alias("half")))
+    known = cut(known.join(F.broadcast(y), "id").select("text", "good", "n", (crc_fold("id", 2) == 0).alias("half")))
     odds = _word_odds(known.where("half"))
-    rows = cut(measures(known.where("not half"), "text", odds, "x").select("x", "y"))
+    rows = cut(measures(known.where("not half"), "text", odds, "x").select("x", "good", "n"))
     d = MEASURES + 1
     weights, rate = np.zeros(d), 0.5
     for _ in range(STEPS):
@@ -109,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for b in batches:
                 if len(b):
                     a = np.column_stack([np.stack(list(b["x"])), np.ones(len(b))])
-                    p = 1 / (1 + np.exp(-a @ now))
-                    total += np.concatenate([(a.T * (p * (1 - p)) @ a).ravel(), a.T @ (b["y"].to_numpy() - p), [len(b), b["y"].sum()]])
+                    p, n, good = 1 / (1 + np.exp(-a @ now)), b["n"].to_numpy(float), b["good"].to_numpy(float)
+                    total += np.concatenate([(a.T * (n * p * (1 - p)) @ a).ravel(), a.T @ (good - n * p), [n.sum(), good.sum()]])
             yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
         sums = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
