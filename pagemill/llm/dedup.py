@@ -56,7 +56,7 @@ SHINGLE = 5
 #: Coordinates of a band, and the largest probability that a pair at the threshold shares fewer than two bands.
 ROWS, MISS = 5, 1e-7
 #: Rows, and shingles, of one side of a block pair, about; classes of a bucket beyond which a second band splits it.
-BLOCK, BLOCK_SHINGLES, HOT = 256, 1 << 20, 2048
+BLOCK, BLOCK_SHINGLES, HOT = 1024, 1 << 20, 4096
 #: Rounds of centres in buckets of several components, the last one without a new centre.
 CENTRES = 2
 #: The threshold unless another is given; links hold at 100 * intersection >= percent * union.
@@ -402,9 +402,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("marks").alias(f"m{x}"))
     ends = F.explode(F.array("a", "b")).alias("key")
 
+    # The sets of all classes that share a bucket, made once: texts are moved here and nowhere else.
+    one = classes.join(crowded.select("key").distinct(), "key", "left_semi").select("key", "id", "mark")
+    pool = cut(plain.join(one, ["id", "mark"]).select("text", "key").mapInArrow(_sets, "key binary, members binary").dropDuplicates(["key"]))
+
     def sets(keys: DataFrame) -> DataFrame:
-        one = classes.join(keys.distinct(), "key", "left_semi").select("key", "id", "mark")
-        return plain.join(one, ["id", "mark"]).select("text", "key").mapInArrow(_sets, "key binary, members binary").dropDuplicates(["key"])
+        return pool.join(keys.distinct(), "key", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (key, centre) those whose sketches, then whose sets are alike."""
