@@ -113,25 +113,6 @@ def chunk_fixed_1000(spark: SparkSession, d: str) -> DataFrame:
     return chunk.fixed(table(spark, d, "documents")).select("doc_id", "position", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@query(
-    """
-    WITH RECURSIVE l AS (
-        SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS parts FROM documents
-    ), pack(doc_id, parts, i, n, c) AS (
-        SELECT doc_id, parts, 1, length(parts[1]), 1 FROM l WHERE len(parts) > 0
-        UNION ALL
-        SELECT doc_id, parts, i + 1, CASE WHEN n + length(parts[i + 1]) > 2000 THEN length(parts[i + 1]) ELSE n + length(parts[i + 1]) END,
-            CASE WHEN n + length(parts[i + 1]) > 2000 THEN c + 1 ELSE c END
-        FROM pack WHERE i < len(parts)
-    )
-    SELECT doc_id, CAST(max(c) AS BIGINT) AS n_chunks FROM pack GROUP BY doc_id
-    """
-)
-def chunk_paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
-    packed = chunk.paragraphs(table(spark, d, "documents"), limit=2000, separator="\n")
-    return packed.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-
-
 @query(
     """
     WITH l AS (SELECT doc_id, unnest(range(0, (length(text) + 999) // 1000)) AS i, text FROM documents WHERE length(text) > 0)
@@ -161,7 +142,7 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """
     SELECT doc_id, CASE WHEN text LIKE '#%' THEN 'header' WHEN text LIKE '```%' THEN 'code' WHEN text LIKE '- %' OR text LIKE '* %' OR text LIKE '1. %' THEN 'list'
             WHEN contains(text, '|') AND contains(text, '-|-') THEN 'table' ELSE 'text' END AS chunk_type,
-        CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview, contains(text, '```') AS has_code
+        CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview, contains(text, '`') AS has_code
     FROM documents
     """
 )
@@ -228,18 +209,6 @@ def chat_last5_context(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.last_turns(table(spark, d, "conversations"))
 
 
-@query(
-    """
-    SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace('<think>plan' || chr(10) || 'x</think>' || text || '[reasoning]y[/reasoning]',
-        '(?s)<think>.*?</think>', '', 'g'), '(?s)\\[reasoning\\].*?\\[/reasoning\\]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer
-    FROM conversations WHERE NOT regexp_matches(text, '\\n\\s*\\n')
-    """
-)
-def response_clean(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("<think>plan\nx</think>"), F.col("text"), F.lit("[reasoning]y[/reasoning]"))
-    return table(spark, d, "conversations").select("conv_id", "turn", tx.clean_response(said).alias("answer"))
-
-
 @query("SELECT event_id, n AS in_window, n <= 3 AS allowed FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n FROM events)")
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     return store.rate_limited(table(spark, d, "events"), "user_id", "ts", most=3).select("event_id", "in_window", "allowed")
