@@ -69,7 +69,7 @@ _COUNT = "len(regexp_extract_all(line, '{}'))"
 _ENDING, _MARKS = quality_rules.ENDING, quality_rules.MARKS.replace("'", "''")
 _FAILS = f"""(
     {_COUNT.format("[#*$%&|<>]")} * 2 > w OR ({_COUNT.format("[!?]")} * 2 > w AND w >= 3)
-    OR (w BETWEEN {_ENDING[0]} AND {_ENDING[1]} AND NOT regexp_matches(line, '{_MARKS}'))
+    OR (w BETWEEN {_ENDING[0]} AND {_ENDING[1]} AND NOT regexp_matches(right(rtrim(line), {quality_rules.LAST}), '{_MARKS}'))
     OR (w >= 3 AND NOT regexp_matches(line, '\\p{{Ll}}') AND regexp_matches(line, '\\p{{Lu}}{{2}}'))
     OR ({_COUNT.format("[|»›·•]")} >= 2 AND {_COUNT.format("[|»›·•]")} * 4 >= w))"""
 
@@ -79,9 +79,9 @@ QUALITY_RULES = f"""
         FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
         WHERE regexp_matches(line, '{WORD}')
     ), company AS (
-        SELECT key, w, lag(key) OVER d AS b, lead(key) OVER d AS a FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+        SELECT key, w, length(line) < {40 * quality_rules.SHORT} AS short, lag(key) OVER d AS b, lead(key) OVER d AS a FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)
     ), boilerplate AS (
-        SELECT key FROM company WHERE w <= {quality_rules.SHORT} GROUP BY key
+        SELECT key FROM company WHERE w <= {quality_rules.SHORT} AND short GROUP BY key
         HAVING least(count(DISTINCT coalesce(b, a, '')), count(DISTINCT coalesce(a, b, ''))) >= greatest({quality_rules.NEIGHBOURS}, {quality_rules.CHANGING} * count(*))
     ), judged AS (
         SELECT doc_id, line, w, {_FAILS} OR (w <= {quality_rules.SHORT} AND key IN (SELECT key FROM boilerplate)) AS fails FROM lines

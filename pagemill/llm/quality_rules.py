@@ -26,27 +26,26 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import BROADCAST_ROWS, WORD, Renamed, cut, joined
 
-BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Bounds of a boilerplate line: its words, different lines on each side, and their share of its occurrences.
 SHORT, NEIGHBOURS, CHANGING = 25, 20, 0.2
-#: Lines of so many words end in a mark; and what may follow one.
-ENDING, MARKS = (8, 40), r"""[.!?:;…。！？।؟]['"”»’)\]]*\s*$"""
+#: Lines of so many words end in a mark: what it may be, and what may follow it in the last LAST characters.
+ENDING, MARKS, LAST = (8, 40), r"""[.!?:;…。！？।؟]['"”»’)\]]*\s*$""", 8
+#: Characters of which a line must have one for a rule of counts to be looked at.
+SIGNS = "[#*$%&|<>!?»›·•]"
 #: A document goes if it keeps less than this share of its words.
 LEAST_KEPT = 0.5
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words fails a rule that needs no other line."""
-    words = F.regexp_count(line, F.lit(WORD))
-    signs = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    bangs = F.length(line) - F.length(F.translate(line, "!?", ""))
-    punctuation = (signs * 2 > words) | (bangs * 2 > words) & (words >= 3)
-    endless = words.between(*ENDING) & ~line.rlike(MARKS)
+def line_fails(line: Column, words: Column) -> Column:
+    """Whether a line of so many words, one at least, fails a rule that needs no other line."""
+    count = lambda signs: F.regexp_count(line, F.lit(f"[{signs}]"))
+    bars = count("|»›·•")
+    punctuation = (count(SYMBOLS) * 2 > words) | (count("!?") * 2 > words) & (words >= 3)
+    navigation = (bars >= 2) & (bars * 4 >= words)
+    endless = words.between(*ENDING) & ~F.right(F.rtrim(line), F.lit(LAST)).rlike(MARKS)
     shouting = (words >= 3) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}{2}")
-    separators = F.length(line) - F.length(F.translate(line, "|»›·•", ""))
-    navigation = (separators >= 2) & (separators * 4 >= words)
-    return punctuation | endless | shouting | navigation
+    return endless | shouting | line.rlike(SIGNS) & (punctuation | navigation)
 
 
 def line_key(line: Column) -> Column:
@@ -61,7 +60,8 @@ def recurring(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key) of the boilerplate lines of docs."""
     # The keys are named by a select of their own: they are shifted and zipped there, not hashed anew for each use.
     keyed = docs.select(_worded(F.col(text_col)).alias("lines"))
-    keyed = keyed.select(F.transform("lines", lambda x: F.struct(line_key(x).alias("k"), (F.regexp_count(x, F.lit(WORD)) <= SHORT).alias("short"))).alias("all"))
+    short = lambda x: (F.length(x) < 40 * SHORT) & (F.regexp_count(x, F.lit(WORD)) <= SHORT)
+    keyed = keyed.select(F.transform("lines", lambda x: F.struct(line_key(x).alias("k"), short(x).alias("short"))).alias("all"))
     keyed = keyed.where(F.size("all") > 0).select("all", F.transform("all", lambda x: x["k"]).alias("keys"))
     # At a document's edge the neighbour of the other side stands for the one that is missing: a footer has changing company.
     many, none = F.size("keys"), F.lit(0).cast("long")
@@ -94,21 +94,18 @@ def _assessed(docs: DataFrame, text_col: str, carry: list[str] | None, most: int
         rows = joined(rows, hits, ["mark"], F.xxhash64(*own.own[:1], "mark"), "left", most=0)
         boilerplate = lambda x: F.coalesce(F.array_contains("hits", line_key(x)), F.lit(False))
     text = F.col("body")
-    lines = F.split(text, "\n")
     kept = [F.col(c) for c in own.own]
-    has_word = lambda x: x.rlike(WORD)
-    fails = lambda x: line_fails(x) | (F.regexp_count(x, F.lit(WORD)) <= SHORT) & boilerplate(x)
+    fails = lambda x: line_fails(x["line"], x["w"]) | (x["w"] <= SHORT) & boilerplate(x["line"])
+    # What is used twice or more is named by a select of its own, and so computed once a row, not once a use or an element.
     base = rows.select(
-        *kept,
-        F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w)).alias("hashes"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(lines, has_word).alias("lines"),
-        F.filter(lines, lambda x: ~has_word(x) | ~fails(x)).alias("passed"),
-    )
+        *kept, "hits", F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("w"))).alias("lines"),
+    )
+    base = base.select(
+        *kept, "n_symbols", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.transform(F.filter("lines", lambda x: x["w"] > 0), lambda x: x["line"]).alias("worded"), F.filter("lines", lambda x: (x["w"] == 0) | ~fails(x)).alias("passed"),
+    )
     n, h = F.size("hashes"), F.col("hashes")
-    # Columns that lambdas look into by index are named by a select of their own and used twice or more there: so they
-    # are computed once a row, not once an element.
     windows = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))).otherwise(
         F.array().cast("array<bigint>")
     )
@@ -116,13 +113,14 @@ def _assessed(docs: DataFrame, text_col: str, carry: list[str] | None, most: int
     step = base.select(
         *plain,
         n.cast("long").alias("n_words"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.array_join("passed", "\n").alias("clean"),
+        (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
+        F.array_join(F.transform("passed", lambda x: x["line"]), "\n").alias("clean"),
+        F.aggregate("passed", F.lit(0), lambda a, x: a + x["w"]).cast("long").alias("clean_words"),
         windows.alias("windows"),
     )
     has_twice = F.size(F.array_distinct("windows")) < F.size("windows")
     ordered = F.when(has_twice, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
-    plain = [*plain, F.col("n_words"), F.col("n_dup_lines"), F.col("clean")]
+    plain = [*plain, F.col("n_words"), F.col("n_dup_lines"), F.col("clean"), F.col("clean_words")]
     step = step.select(*plain, ordered.alias("ordered"))
     z = F.col("ordered")
     last = F.size(z) - 1
@@ -136,7 +134,7 @@ def _assessed(docs: DataFrame, text_col: str, carry: list[str] | None, most: int
     )
     step = step.select(*plain, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    step = step.select("*", failed.alias("base_failed"), F.regexp_count(F.col("clean"), F.lit(WORD)).cast("long").alias("clean_words"))
+    step = step.select("*", failed.alias("base_failed"))
     return own, step.select("*", (~F.col("base_failed") & (F.col("clean_words") >= F.col("n_words") * LEAST_KEPT)).alias("kept"))
 
 
