@@ -28,13 +28,13 @@ class Settings:
 def _as(value: object, kind: type) -> object:
     if kind is bool and isinstance(value, str):
         return value.strip().lower() in ("1", "true", "yes", "on")
-    return kind(value)
+    return int(float(value)) if kind is int else kind(value)
 
 
 def load(text: str | None = None, environment: Mapping[str, str] | None = None, prefix: str = "PAGEMILL_") -> Settings:
     """Settings of a JSON text (an object; names that aren't settings are left out) and an environment, which wins."""
     given = {k.lower(): v for k, v in (json.loads(text) if text else {}).items()}
     environment = os.environ if environment is None else environment
-    kinds = {f.name: type(f.default) for f in dataclasses.fields(Settings)}
+    kinds = {f.name: {"int": int, "float": float, "bool": bool}[f.type] for f in dataclasses.fields(Settings)}
     given |= {k.removeprefix(prefix).lower(): v for k, v in environment.items() if k.startswith(prefix)}
     return Settings(**{k: _as(v, kinds[k]) for k, v in given.items() if k in kinds})
