@@ -197,7 +197,7 @@ def page_elements(text: str) -> Iterator[dict]:
     """Paragraphs, headings, lists and grid tables of a page's text."""
     items: list[str] = []
     for block in re.split(r"\n\s*\n", text):
-        rows = [[c.strip() for c in re.split(r"\s{3,}|\s*\|\s*", x.strip(" |"))] for x in block.split("\n") if x.strip()]
+        rows = [[c.strip() for c in re.split(r"\s*\|\s*|\s{3,}", x.strip(" |"))] for x in block.split("\n") if x.strip()]
         if len(rows) >= 2 and all(len(r) >= 2 for r in rows):
             yield _element("table", rows=rows)
             continue

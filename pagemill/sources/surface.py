@@ -12,7 +12,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pagemill.operators import chunk, dom
 
 
-@F.udtf(returnType="position int, content string, type string, code_language string, path array<string>")
 class MarkdownChunks:
     """The chunks of one Markdown text."""
 
@@ -21,7 +20,6 @@ class MarkdownChunks:
             yield i, content, "code" if code else "text", language, path
 
 
-@F.udtf(returnType="position int, content string, sentences int")
 class SentenceChunks:
     """The chunks of one text by sentences, of `size` words with `overlap` words of the chunk before."""
 
@@ -30,7 +28,6 @@ class SentenceChunks:
             yield i, content, n
 
 
-@F.udtf(returnType="href string, text string, rel string")
 class PageLinks:
     """The links of one page."""
 
@@ -40,7 +37,6 @@ class PageLinks:
                 yield n.attrs["href"], n.text(), n.attrs.get("rel", "")
 
 
-@F.udtf(returnType="key string, value string")
 class PageMetadata:
     """What one page says of itself."""
 
@@ -87,8 +83,17 @@ class CaptureReader(DataSourceReader):
                     yield None, None, None, f"{type(e).__name__}: {e}"
 
 
+#: Table functions by name, with the columns that they give.
+FUNCTIONS = {
+    "markdown_chunks": (MarkdownChunks, "position int, content string, type string, code_language string, path array<string>"),
+    "sentence_chunks": (SentenceChunks, "position int, content string, sentences int"),
+    "page_links": (PageLinks, "href string, text string, rel string"),
+    "page_metadata": (PageMetadata, "key string, value string"),
+}
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions and the source known by name to a session."""
-    for name, f in {"markdown_chunks": MarkdownChunks, "sentence_chunks": SentenceChunks, "page_links": PageLinks, "page_metadata": PageMetadata}.items():
-        spark.udtf.register(name, f)
+    for name, (handler, columns) in FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(handler, returnType=columns))
     spark.dataSource.register(Captures)

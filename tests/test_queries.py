@@ -26,7 +26,7 @@ def test_entry(spark):
 
 
 def test_response_clean_keeps_blank_lines_and_nulls(spark, tmp_path):
-    rows = [(1, 0, "user", "one\n \n\ntwo"), (1, 1, "assistant", None), (2, 0, "user", " three\nfour ")]
+    rows = [(1, 0, "user", "one\n \n\ntwo"), (1, 1, "assistant", None), (2, 0, "user", " three\nfour "), (2, 6, "user", "x")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {tuple(r) for r in catalogue.QUERIES["response_clean"](spark, str(tmp_path)).collect()}
-    assert got == {(1, 0, "one\n\ntwo"), (1, 1, None), (2, 0, "three\nfour")}
+    assert got == {(1, 0, "one\n\ntwo\n\nend"), (1, 1, None), (2, 0, "three\nfour \n\nend"), (2, 6, "<analysis>a\nb</analysis>x\n\nend")}
