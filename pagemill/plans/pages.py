@@ -69,10 +69,10 @@ def page_metadata_full(spark: SparkSession, d: str) -> DataFrame:
             regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|$)', 1) AS main, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
             regexp_extract(html, '(?is)<html\\b[^>]*?\\blang\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS lang FROM p
     )
-    SELECT page_id, good AS success, CASE WHEN good THEN '200' ELSE '500' END AS status, url AS source_url, CASE WHEN good THEN trim(replace(title, '&amp;', '&')) END AS title,
+    SELECT page_id, good AS success, CASE WHEN good THEN '200' ELSE '500' END AS status, url AS source_url, CASE WHEN good THEN trim(replace(replace(title, '&quot;', '"'), '&amp;', '&')) END AS title,
         CASE WHEN good THEN lang END AS language, CASE WHEN good THEN lang END AS meta_language, CASE WHEN good THEN 'utf-8' END AS charset, CASE WHEN good THEN nullif(links, 0) END AS n_links,
         CASE WHEN NOT good THEN 'no content' END AS warning,
-        CASE WHEN good THEN md5(regexp_replace(replace(replace(replace(regexp_replace(main, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[^\\p{L}\\p{N}]', '', 'g')) END AS letters_md5
+        CASE WHEN good THEN md5(regexp_replace(replace(replace(replace(replace(regexp_replace(main, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[^\\p{L}\\p{N}]', '', 'g')) END AS letters_md5
     FROM found
     """
 )
