@@ -172,18 +172,21 @@ def top_k(
     asked = cut(asked.join(floors.groupBy("id").agg(F.max("floor").alias("floor")), "id", "left").withColumn("floor", F.coalesce("floor", least)))
     lows = {r.group: r.low for r in asked.groupBy("group").agg(F.min("floor").alias("low")).collect()}
 
-    pairs, total, sent_pairs = [], sum(r.queries for r in about.values()), 0
-    for g, low in lows.items():
-        for j, r in about.items():
-            most = pivots[g] @ pivots[j] + about[g].R * norms[j] + about[g].Q * r.r
-            if j != g and max(most * (1 + 1e-9) + 1, LEAST_SCORE) >= low:
-                pairs.append((int(g), int(j), float(r.r), float(norms[j]), float(r.lo), float(r.hi), float(r.w), [float(x) for x in pivots[j]]))
-    if pairs:
-        routes = F.broadcast(spark.createDataFrame(pairs, "group int, cell int, r double, norm double, lo double, hi double, w double, pivot array<double>"))
+    total, sent_pairs = sum(r.queries for r in about.values()), 0
+    groups, cells = np.array(sorted(lows), np.int64), np.array(sorted(about), np.int64)
+    of_groups, of_cells = [about[g] for g in groups], [about[c] for c in cells]
+    most = pivots[groups] @ pivots[cells].T + np.outer([x.R for x in of_groups], norms[cells]) + np.outer([x.Q for x in of_groups], [x.r for x in of_cells])
+    reach = np.maximum(most * (1 + 1e-9) + 1, LEAST_SCORE) >= np.array([lows[g] for g in groups], np.float64)[:, None]
+    g, c = np.nonzero(reach & (groups[:, None] != cells[None, :]))
+    if len(g):
+        # At most n_pivots squared rows of two numbers, and n_pivots rows with a pivot.
+        routes = F.broadcast(spark.createDataFrame(pd.DataFrame({"group": groups[g], "cell": cells[c]}), "group int, cell int"))
+        told = [(int(j), float(r.r), float(norms[j]), float(r.lo), float(r.hi), float(r.w), [float(x) for x in pivots[j]]) for j, r in zip(cells, of_cells, strict=True)]
+        told = F.broadcast(spark.createDataFrame(told, "cell int, r double, norm double, lo double, hi double, w double, pivot array<double>"))
         # The bounds for one query instead of its group; the margins are for the rounding of doubles.
         dot = F.aggregate(F.zip_with("v", "pivot", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
         square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-        near = asked.join(routes, "group").withColumn("dot", dot).withColumn("square", square)
+        near = asked.join(routes, "group").join(told, "cell").withColumn("dot", dot).withColumn("square", square)
         up = F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(F.lit(0.0))
         by_radius = F.col("dot") + F.sqrt("square") * F.col("r")
         by_extent = F.greatest(up * F.col("lo"), up * F.col("hi")) + F.sqrt(F.greatest(F.lit(0.0), F.col("square") - up * up)) * F.col("w")

@@ -37,6 +37,7 @@ def test_large_numbers_and_empty(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=3, n_pivots=3).collect()} == brute(rows, 3)
     assert topk.top_k(vectors.where("false"), F.lit(True)).collect() == []
+    assert topk.top_k(vectors, F.lit(False), n_pivots=3).collect() == []
 
 
 def test_products_beyond_64_bits(spark):
