@@ -45,32 +45,37 @@ def fresh(requests: DataFrame, key: str = "key", ts: str = "ts", ttl: str = "1 d
     return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
+def _epochs(spark: SparkSession, path: str) -> dict[int, object]:
+    """The epochs whose tables are whole, with their folders."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return {int(x.getPath().getParent().getName().removeprefix("epoch=")): x.getPath().getParent() for x in found}
 
 
 def upsert_into(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, *ties: str) -> StreamingQuery:
     """Keeps one row a key, the newest version, of a stream, as a table under path; read_upserted() reads it.
 
-    A batch writes a new table beside the old one and then turns a pointer to it: a batch that is run again writes its own
-    table anew, from the one before, and readers never see a half.
+    Each batch writes a table of its own from the one before it; a table counts once its success mark stands. A batch that is
+    run again starts from the same table and writes its own anew. The last two tables are kept.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = _table(spark, path)
-        both = batch if old is None else old.select(batch.columns).unionByName(batch)
+        before = {k: v for k, v in _epochs(spark, path).items() if k < epoch}
+        both = batch
+        if before:
+            both = spark.read.schema(batch.schema).parquet(before[max(before)].toString()).unionByName(batch)
         store.upsert(both, batch.limit(0), key, version, *ties).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        spark.range(1).select(F.lit(f"epoch={epoch}")).coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+        for k in sorted(before)[:-1]:
+            before[k].getFileSystem(spark._jsc.hadoopConfiguration()).delete(before[k], True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return _table(spark, path)
+    found = _epochs(spark, path)
+    return spark.read.parquet(found[max(found)].toString())
 
 
 def embed_and_store(docs: DataFrame, out: str, checkpoint: str, embed=retrieval.hashed_embedding, kind: str = "fixed", key: str = "doc_id", **how) -> StreamingQuery:
