@@ -34,7 +34,7 @@ ENDING, MARKS, LAST = (8, 40), r"""[.!?:;…。！？।؟]['"”»’)\]]*\s*$"
 #: Characters of which a line must have one for a rule of counts to be looked at.
 SIGNS = "[#*$%&|<>!?»›·•]"
 #: A document goes if it keeps less than this share of its words.
-LEAST_KEPT = 0.5
+LEAST_KEPT = 0.3
 
 
 def line_fails(line: Column, words: Column) -> Column:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import mixing
+from pagemill.llm import mixing, quality_rules
 from pagemill.llm.common import words_of
 from pagemill.llm.queries import word_vocabulary
 from pagemill.storage import release
@@ -133,7 +133,7 @@ def test_rules_one_by_one(spark):
             windows[tuple(words[i : i + 5])].append(i)
         again = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
         clean = [x for x in (r.text or "").split("\n") if not x.split() or not bad(x)]
-        kept = len(words) >= 10 and 100 * len(again) <= 20 * len(words) and sum(len(x.split()) for x in clean) >= 0.5 * len(words)
+        kept = len(words) >= 10 and 100 * len(again) <= 20 * len(words) and sum(len(x.split()) for x in clean) >= quality_rules.LEAST_KEPT * len(words)
         assert (r.doc_id in out) == kept, r.doc_id
         if kept:
             assert out[r.doc_id].text == "\n".join(clean) and out[r.doc_id].n_chars == len("\n".join(clean))
