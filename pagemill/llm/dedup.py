@@ -56,7 +56,9 @@ SHINGLE = 5
 #: Coordinates of a band, and the largest probability that a pair at the threshold shares fewer than two bands.
 ROWS, MISS = 5, 1e-7
 #: Rows, and shingles, of one side of a block pair, about; classes of a bucket beyond which a second band splits it.
-BLOCK, BLOCK_SHINGLES, HOT = 1024, 1 << 20, 4096
+BLOCK, BLOCK_SHINGLES, HOT = 1024, 1 << 19, 4096
+#: Columns of the matrices of a block pair at a time.
+COLUMNS = 2048
 #: Rounds of centres in buckets of several components, the last one without a new centre.
 CENTRES = 2
 #: The threshold unless another is given; links hold at 100 * intersection >= percent * union.
@@ -105,7 +107,7 @@ class _WordHashes(dict):
 
         value = xxh3_64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 300_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = value
         return value
@@ -346,9 +348,9 @@ def _dense(percent: int) -> Callable:
         row, column = row[order], column[order]
         one, two = np.flatnonzero(asks), np.flatnonzero(asked)
         common = np.zeros((len(one), len(two)))
-        for at in range(0, int(twice.sum()), 8192):
-            lo, hi = np.searchsorted(column, [at, at + 8192])
-            part = np.zeros((len(sets), 8192), np.float32)
+        for at in range(0, int(twice.sum()), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), np.float32)
             part[row[lo:hi], column[lo:hi] - at] = 1
             common += part[one] @ part[two].T
         linked = 100 * common >= percent * (n[one][:, None] + n[two][None, :] - common)
