@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Fixed bounds of a worker's memory of chunks and fragments: entries, and the longest one remembered in bytes.
-MEMORY_ENTRIES, MEMORY_LENGTH = 400_000, 48
+MEMORY_ENTRIES, MEMORY_LENGTH = 150_000, 48
 
 #: Characters that normalisation can only lower-case, each by itself: printable ASCII and the Latin blocks after it.
 _PLAIN = re.compile("[!-~\u00a1-\u024f]+")
