@@ -93,6 +93,29 @@ def test_dom(spark):
         assert dom.post_process(dom.post_process(x)) == dom.post_process(x)
 
 
+@pytest.mark.parametrize("policy", ["EXCEPTION", "LAST_WIN"])
+def test_records_by_key_policy(spark, policy):
+    """What a page says of itself replaces what its record starts from, whatever the session does about equal keys; the rest stays."""
+    page = """<html lang="de"><head><title>T</title><meta name="description" content="d"><meta name="description" content="e"><meta property="og:title" content="o"><meta property="og:title" content="p"></head></html>"""
+    rows = [(1, "http://h/1", page), (2, "http://h/2", None), (3, None, ""), (4, "http://h/4", "<title></title>"), (5, "http://h/5", '<p lang="fr">x</p>')]
+    session = spark.newSession()
+    session.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+    got = {r.page_id: r.metadata for r in dom.records(session.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    start = {"title": None, "description": None, "language": None, "error": None, "statusCode": "200"}
+    assert got == {
+        1: start | {"sourceURL": "http://h/1", "title": "T", "description": "d", "language": "de", "ogTitle": "p"}, 2: start | {"sourceURL": "http://h/2", "statusCode": "500", "error": "no content"},
+        3: start | {"sourceURL": None}, 4: start | {"sourceURL": "http://h/4", "title": ""}, 5: start | {"sourceURL": "http://h/5"},
+    }
+
+
+def test_dom_entities(spark):
+    """Only whole entities are decoded; a cut one, as at the end of a shortened title, stays, in text and in attributes."""
+    page = """<title>a&amp;b & c&amp</title><main><p>&lt;x&gt; &#65;&#x42; &amp;lt; &copy 1 &notit; Q&A &#6<a href="/?a=1&copy=2&amp;d=&quot;">l</a></main>"""
+    got = dom.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert got.title == got.metadata["title"] == "a&b & c&amp" and [x.href for x in got.links] == ['/?a=1&copy=2&d="']
+    assert got.markdown == '<x> AB &lt; &copy 1 &notit; Q&A &#6[l](/?a=1&copy=2&d=")'
+
+
 MD = "intro text\n# A\nalpha\n## B\nbeta\n```py\n# not a header\n```\nafter\n### C\n# D\n| a | b |\n|-|-|\n"
 
 
