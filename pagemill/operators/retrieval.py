@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,10 +126,22 @@ def embedder(name: str = "hashed"):
     return EMBEDDERS[name]
 
 
+def _counts(codes: np.ndarray | None, dim: int) -> list | np.ndarray:
+    if codes is None:
+        return [None] * dim
+    up, down = np.bincount(np.asarray(codes, np.int64), minlength=2 * dim).reshape(dim, 2).T
+    signed = up - down
+    return (signed if signed.any() else up + down).astype(np.float64)
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """An offline stand-in for a remote embedding: signed counts of hashed words."""
+    """An offline stand-in for a remote embedding: signed counts of hashed words. Where they cancel out to nothing, the counts
+    have no signs: only a text without words is all zeros."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    at = lambda w: F.pmod(F.xxhash64(w), F.lit(dim))
-    sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    hashed = F.transform(words, lambda w: F.struct(at(w).alias("i"), sign(w).alias("s")))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(hashed, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
+    code = lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)) * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("int")  # noqa: E731  odd: counts down
+
+    @F.pandas_udf("array<double>")
+    def counted(codes: pd.Series) -> pd.Series:
+        return pd.Series([_counts(x, dim) for x in codes], dtype=object)
+
+    return counted(F.transform(words, code))
