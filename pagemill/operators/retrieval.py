@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-
+#: Rows of a collection, and queries to it, that one task compares; queries that it compares at once.
+BLOCK, AT_ONCE = 4096, 256
+#: More than rounding can move a cosine by.
+MARGIN = 1e-9
 #: Queries of one call of search_many().
 QUERIES = 10_000
 
@@ -21,6 +27,94 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def _matrix(lists: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Lists as rows, padded with zeros."""
+    out = np.zeros((len(lists), dim))
+    out[np.arange(dim) < pc.list_value_length(lists).to_numpy()[:, None]] = pc.list_flatten(lists).to_numpy()
+    return out
+
+
+def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray | slice = slice(None), j: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Products of rows i of one matrix with rows j of the other, summed from the first component on, as SQL sums them."""
+    out = 0.0
+    for x, y in zip(a.T, b.T, strict=True):
+        out = out + x[i] * y[j]
+    return out
+
+
+def _best(k: int, distance: bool):
+    """A block of rows and the queries sent to it, as (query_id, id, score) of the k best rows of each query, ties to smaller ids.
+
+    Products of unit vectors tell which rows can be among the k best; the scores of those are then taken as SQL takes them.
+    Vectors whose squares doubles can't hold well are always among them. All zeros, and other lengths, have no score.
+    """
+
+    def unit(x: np.ndarray, square: np.ndarray) -> np.ndarray:
+        return np.where((square > 1e-280) & (square < 1e280), x.T / np.sqrt(square), np.nan).T
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        length, asked_length = (pc.list_value_length(x["v"]).to_numpy() for x in (left, right))
+        dim = max(length.max(initial=1), asked_length.max(initial=1))
+        rows, asked = np.asfortranarray(_matrix(left["v"], dim)), np.asfortranarray(_matrix(right["v"], dim))
+        q, v, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        with np.errstate(all="ignore"):
+            square, asked_square = _dots(rows, rows), _dots(asked, asked)
+            units, asked_units = unit(rows, square), unit(asked, asked_square)
+            for at in range(0, len(asked) if len(rows) else 0, AT_ONCE):
+                part = slice(at, at + AT_ONCE)
+                near = asked_units[part] @ units.T
+                odd = np.isnan(near)
+                may = (asked_length[part, None] == length) & (asked_square[part, None] != 0) & (square != 0)
+                near[odd | ~may] = -np.inf
+                if len(rows) > k:
+                    may &= odd | (near >= np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k, None] - MARGIN)
+                i, j = np.nonzero(may)
+                both = asked_square[part][i] * square[j]
+                norm = np.where((both > 0) & (both < np.inf), np.sqrt(both), np.sqrt(asked_square[part][i]) * np.sqrt(square[j]))
+                score = np.clip(_dots(asked[part], rows, i, j) / norm, -1, 1)
+                score = 1 - score if distance else score
+                order = np.lexsort((j, np.nan_to_num(score if distance else -score, nan=np.inf if distance else -np.inf), i))
+                order = order[np.arange(len(order)) - np.searchsorted(i, i, "left") < k]  # i is in order already
+                q.append(i[order] + at)
+                v.append(j[order])
+                s.append(score[order])
+        q, v, s = (pa.array(np.concatenate(x)) for x in (q, v, s))
+        return pa.table({"query_id": right["query_id"].take(q), "id": left["id"].take(v), "score": s})
+
+    return run
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, distance: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) of the k best rows of vectors (id, c, v) for each of queries (query_id, c, v), among those of
+    the same c: by cosine, or by the distance 1 - cosine. Ties go to smaller ids.
+
+    The rows of a c are dealt over blocks and its queries over slices; a task gets one block and one slice, and sends k rows of
+    a query on.
+    """
+
+    def usable(df: DataFrame) -> DataFrame:
+        whole = F.col("c").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+        return df.where(whole).withColumn("v", F.col("v").cast("array<double>"))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        """Of each c that has more rows than a block; any other is one. So they are few."""
+        return F.broadcast(df.groupBy("c").count().where(F.col("count") > BLOCK).select("c", F.ceil(F.col("count") / BLOCK).cast("int").alias(name)))
+
+    queries, vectors = usable(queries), usable(vectors)
+    n_parts, n_slices = blocks(vectors, "parts"), blocks(queries, "slices")
+    sized = lambda df: df.join(n_parts, "c", "left").join(n_slices, "c", "left").fillna(1, ["parts", "slices"])
+    one = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = sized(vectors).select("c", one("id", "parts").alias("part"), each("slices").alias("slice"), "id", "v")
+    asked = sized(queries).select("c", each("parts").alias("part"), one("query_id", "slices").alias("slice"), "query_id", "v")
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", vectors.schema["id"].dataType), StructField("score", DoubleType())])
+    key = ["c", "part", "slice"]
+    found = data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_best(k, distance), schema)
+    best = Window.partitionBy("query_id").orderBy(F.asc("score") if distance else F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def search(vectors: DataFrame, query: list[float], k: int = 3, floor: float = 0.65, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k most similar rows to one query, best first; those at the floor if there are any, else all k.
 
@@ -59,9 +153,9 @@ def in_collection(queries: DataFrame, vectors: DataFrame, n: int = 5, floor: flo
     Relevance is 1 - d / max(d) over the n rows found, d the cosine distance. Rows that aren't relevant aren't filled in,
     however few are left.
     """
-    both = vectors.select(collection, id_col, F.col(vector_col).alias("_v")).join(queries.select(query_id, collection, F.col(query_vector).alias("_q")), collection)
-    near = both.select(query_id, id_col, (1 - cosine(F.col("_v"), F.col("_q"))).alias("distance")).where("distance is not null")
-    found = near.withColumn("_rn", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))).where(F.col("_rn") <= n).drop("_rn")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(collection).cast(vectors.schema[collection].dataType).alias("c"), F.col(query_vector).alias("v"))
+    near = _nearest(asked, vectors.select(F.col(id_col).alias("id"), F.col(collection).alias("c"), F.col(vector_col).alias("v")), n, distance=True)
+    found = near.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), F.col("score").alias("distance"))
     return relevant(found, query_id, floor).drop("distance")
 
 
