@@ -148,14 +148,15 @@ def search_many(queries: DataFrame, vectors: DataFrame, k: int = 3, floor: float
 
 
 def in_collection(queries: DataFrame, vectors: DataFrame, n: int = 5, floor: float = 0.8, collection: str = "collection_id", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, relevance) of the n nearest rows of each query's own collection, those of enough relevance.
+    """(query_id, id, rank, relevance) of the n nearest rows of each query's own collection, those of enough relevance.
 
+    rank is by distance, ties to smaller ids; relevance is rounded, so it doesn't tell near rows apart.
     Relevance is 1 - d / max(d) over the n rows found, d the cosine distance. Rows that aren't relevant aren't filled in,
     however few are left.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(collection).cast(vectors.schema[collection].dataType).alias("c"), F.col(query_vector).alias("v"))
     near = _nearest(asked, vectors.select(F.col(id_col).alias("id"), F.col(collection).alias("c"), F.col(vector_col).alias("v")), n, distance=True)
-    found = near.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), F.col("score").alias("distance"))
+    found = near.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "rank", F.col("score").alias("distance"))
     return relevant(found, query_id, floor).drop("distance")
 
 

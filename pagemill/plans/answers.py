@@ -192,7 +192,7 @@ def _collection_hits(spark: SparkSession, d: str, floor: float) -> DataFrame:
 @query(_NEAR + "SELECT query_id, vec_id, round(relevance, 3) AS relevance FROM scored WHERE relevance >= 0.05")
 def collection_query(spark: SparkSession, d: str) -> DataFrame:
     """The nearest rows of each query's own collection that are relevant enough."""
-    return _collection_hits(spark, d, 0.05)
+    return _collection_hits(spark, d, 0.05).drop("rank")
 
 
 @query(
@@ -212,9 +212,7 @@ def collection_query(spark: SparkSession, d: str) -> DataFrame:
 def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain from a question to what a model is asked: hits, context with its sources, last turns; blank questions have none."""
     v = F.col("vec_id")
-    hits = _collection_hits(spark, d, 0.05)
-    ranked = hits.withColumn("rank", F.expr("row_number() over (partition by query_id order by relevance desc, vec_id)"))
-    passages = ranked.select("query_id", "rank", F.concat(F.lit("passage "), v.cast("string")).alias("text"), F.when(v % 2 == 0, F.concat(F.lit("http://v/"), v.cast("string"))).alias("url"), F.when(v % 4 == 0, F.concat(F.lit("T"), v.cast("string"))).alias("title"))
+    passages = _collection_hits(spark, d, 0.05).select("query_id", "rank", F.concat(F.lit("passage "), v.cast("string")).alias("text"), F.when(v % 2 == 0, F.concat(F.lit("http://v/"), v.cast("string"))).alias("url"), F.when(v % 4 == 0, F.concat(F.lit("T"), v.cast("string"))).alias("title"))
     q = table(spark, d, "embeddings").where("vec_id % 10 = 3").select(v.alias("query_id"), (v % 40).alias("conv_id"), F.when(v % 3 != 0, F.concat(F.lit("question "), v.cast("string"))).otherwise(" ").alias("question"))
     asked = retrieval.answer_prompt(q, passages, table(spark, d, "conversations"), "Answer from this.")
     return asked.select("query_id", "context", retrieval.flat_prompt(F.col("messages")).alias("prompt"))
