@@ -14,8 +14,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 BLOCK, AT_ONCE = 4096, 256
 #: More than rounding can move a cosine by.
 MARGIN = 1e-9
-#: Queries of one call of search_many().
-QUERIES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -132,19 +130,14 @@ def search_many(queries: DataFrame, vectors: DataFrame, k: int = 3, floor: float
     strict: rows at the floor, if the best one is good. exact: all k rows, where the best is below that, or nothing reaches the
     floor. As the scan is exact, every laxer floor would give a part of the same k rows.
 
-    The queries are a stated set: they are broadcast up to QUERIES rows, and must not be more. Each task sends k rows of a
-    query on.
+    Rows and queries are compared in blocks, all pairs of them; each block sends k rows of a query on.
     """
-    n = queries.limit(QUERIES + 1).count()
-    if n > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries; use an index, or blocks of queries")
-    asked = queries.select(F.col(query_id), F.col(query_vector).alias("_q"))
-    scored = vectors.select(F.col(id_col), F.col(vector_col).alias("_v")).join(F.broadcast(asked)).select(query_id, id_col, cosine(F.col("_v"), F.col("_q")).alias("score"))
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
-    top = scored.where("score is not null").withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.lit(0).alias("c"), F.col(query_vector).alias("v"))
+    top = _nearest(asked, vectors.select(F.col(id_col).alias("id"), F.lit(0).alias("c"), F.col(vector_col).alias("v")), k)
+    top = top.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), "score")
     most = F.max("score").over(Window.partitionBy(query_id))
     top = top.withColumn("tier", F.when(most >= good, "strict").otherwise("exact"))
-    return top.where((F.col("tier") == "exact") | (F.col("score") >= floor)).drop("_rn")
+    return top.where((F.col("tier") == "exact") | (F.col("score") >= floor))
 
 
 def in_collection(queries: DataFrame, vectors: DataFrame, n: int = 5, floor: float = 0.8, collection: str = "collection_id", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
